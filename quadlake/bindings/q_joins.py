@@ -107,7 +107,7 @@ def prereq_both_ways(t):
 
 @query("null_safe_join", """
 WITH majors AS (SELECT o_orderkey, year(o_orderdate) AS year, nullif(o_orderpriority, '5-LOW') AS spec FROM orders),
-rules AS (SELECT year, spec, count(*) AS n, min(o_orderkey) AS first_key FROM majors WHERE o_orderkey % 3 > 0 GROUP BY 1, 2)
+rules AS (SELECT year, spec, count(*) AS n, min(o_orderkey) AS first_key FROM majors GROUP BY 1, 2)
 SELECT o_orderkey, m.year, m.spec, n, first_key FROM majors m
 JOIN rules r ON m.year = r.year AND m.spec IS NOT DISTINCT FROM r.spec
 """)
@@ -115,7 +115,7 @@ def null_safe_join(t):
     majors = t.orders.select(
         "o_orderkey", F.year("o_orderdate").cast("bigint").alias("year"),
         F.nullif("o_orderpriority", F.lit("5-LOW")).alias("spec"))
-    rules = (majors.where("o_orderkey % 3 > 0").groupBy("year", "spec")
+    rules = (majors.groupBy("year", "spec")
              .agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key")))
     return jn.join_null_safe(majors, rules, ["year"], ["spec"])
 
@@ -181,16 +181,16 @@ def latest_partition(t):
 
 
 @query("interval_contains", """
-WITH ranges AS (SELECT o_orderkey AS range_key, DATE '2023-12-01' + CAST(o_orderkey % 75 AS INT) AS lo,
-  DATE '2023-12-01' + CAST(o_orderkey % 75 + o_custkey % 12 AS INT) AS hi FROM orders WHERE o_totalprice > 490000)
+WITH ranges AS (SELECT o_orderstatus || o_orderpriority AS range_key, DATE '2023-12-20' + CAST(count(*) % 35 AS INT) AS lo,
+  DATE '2023-12-20' + CAST(count(*) % 35 + count(*) % 13 AS INT) AS hi FROM orders GROUP BY 1)
 SELECT event_id, range_key FROM events JOIN ranges ON CAST(ts AS DATE) BETWEEN lo AND hi
 """)
 def interval_contains(t):
-    first = F.lit("2023-12-01").cast("date")
-    ranges = t.orders.where("o_totalprice > 490000").select(
-        F.col("o_orderkey").alias("range_key"),
-        F.date_add(first, (F.col("o_orderkey") % 75).cast("int")).alias("lo"),
-        F.date_add(first, (F.col("o_orderkey") % 75 + F.col("o_custkey") % 12).cast("int")).alias("hi"))
+    first = F.lit("2023-12-20").cast("date")
+    ranges = (t.orders.groupBy(F.concat("o_orderstatus", "o_orderpriority").alias("range_key"))
+              .agg(F.count("*").alias("n"))
+              .select("range_key", F.date_add(first, (F.col("n") % 35).cast("int")).alias("lo"),
+                      F.date_add(first, (F.col("n") % 35 + F.col("n") % 13).cast("int")).alias("hi")))
     points = t.events.select("event_id", F.col("ts").cast("date").alias("d"))
     return jn.interval_contains(points, ranges, "d", "lo", "hi").select("event_id", "range_key")
 

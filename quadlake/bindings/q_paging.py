@@ -94,13 +94,13 @@ WITH terms AS (SELECT o_custkey AS name, min(o_orderdate) AS opens, max(o_orderd
 runs AS (SELECT user_id AS name, max(ts) AS last_run FROM events GROUP BY 1)
 SELECT name, strftime(coalesce(last_run, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS last_run
 FROM terms LEFT JOIN runs USING (name)
-WHERE opens <= TIMESTAMP '1998-01-01' AND closes >= TIMESTAMP '1998-01-01' AND name < 150 ORDER BY coalesce(last_run, TIMESTAMP '1970-01-01'), name LIMIT 20
+WHERE opens <= TIMESTAMP '1998-01-01' AND closes >= TIMESTAMP '1998-01-01' ORDER BY coalesce(last_run, TIMESTAMP '1970-01-01'), name LIMIT 20
 """)
 def stalest_first(t):
     terms = t.orders.groupBy(F.col("o_custkey").alias("name")).agg(
         F.min("o_orderdate").alias("opens"), F.max("o_orderdate").alias("closes"))
     runs = t.events.groupBy(F.col("user_id").alias("name")).agg(F.max("ts").alias("last_run"))
-    picked = paging.stalest_first(terms.where("name < 150"), runs, "name", "last_run", "opens", "closes",
+    picked = paging.stalest_first(terms, runs, "name", "last_run", "opens", "closes",
                                   "1998-01-01 00:00:00", take=20)
     return picked.select("name", F.date_format("last_run", "yyyy-MM-dd HH:mm:ss").alias("last_run"))
 
@@ -116,9 +116,9 @@ def union_tagged(t):
 
 
 @query("snapshot_diff", """
-WITH o AS (SELECT * FROM customer WHERE c_custkey % 10 <> 1),
-n AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 4 THEN NULL ELSE c_name END AS c_name,
-      CASE WHEN c_custkey % 10 = 5 THEN 0 ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 2),
+WITH o AS (SELECT * FROM customer WHERE c_acctbal > -500),
+n AS (SELECT c_custkey, CASE WHEN c_mktsegment <> 'MACHINERY' OR c_acctbal > 0 THEN c_name END AS c_name,
+      CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey // 2 ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < 9000),
 j AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, o.c_custkey AS ok, n.c_custkey AS nk,
   o.c_name AS o1, n.c_name AS n1, CAST(o.c_nationkey AS VARCHAR) AS o2, CAST(n.c_nationkey AS VARCHAR) AS n2 FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)
 SELECT c_custkey, 'added' AS change, NULL AS "column", NULL AS old, NULL AS new FROM j WHERE ok IS NULL
@@ -127,10 +127,12 @@ UNION ALL SELECT c_custkey, 'changed', 'c_name', o1, n1 FROM j WHERE ok IS NOT N
 UNION ALL SELECT c_custkey, 'changed', 'c_nationkey', o2, n2 FROM j WHERE ok IS NOT NULL AND nk IS NOT NULL AND o2 IS DISTINCT FROM n2
 """)
 def snapshot_diff(t):
-    old = t.customer.where("c_custkey % 10 <> 1")
-    new = t.customer.where("c_custkey % 10 <> 2").withColumns({
-        "c_name": F.when(F.col("c_custkey") % 10 != 4, F.col("c_name")),
-        "c_nationkey": F.when(F.col("c_custkey") % 10 == 5, 0).otherwise(F.col("c_nationkey"))})
+    old = t.customer.where("c_acctbal > -500")
+    named = (F.col("c_mktsegment") != "MACHINERY") | (F.col("c_acctbal") > 0)
+    moved = F.floor(F.col("c_nationkey") / 2).cast("int")
+    new = t.customer.where("c_acctbal < 9000").withColumns({
+        "c_name": F.when(named, F.col("c_name")),
+        "c_nationkey": F.when(F.col("c_mktsegment") == "BUILDING", moved).otherwise(F.col("c_nationkey"))})
     return diff.snapshot_diff(old, new, ["c_custkey"], ignore=["c_acctbal"])
 
 

@@ -6,12 +6,12 @@ from quadlake.bindings.registry import query
 from quadlake.bindings.roles import FLAGS, cte, role
 from quadlake.operators import upsert
 
-# Stored: the last event per user before the 15th; incoming: the last since the 10th.
+# Stored: each user's last large event before the 15th; incoming: the last since the 10th.
 _SIDES = """WITH o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, arg_max(floor(value), (ts, event_id)) AS value, true AS flagged
-  FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 7 <> 3 GROUP BY 1),
+  FROM events WHERE ts < TIMESTAMP '2024-01-15' AND value > 150 GROUP BY 1),
 n AS (SELECT user_id, nullif(arg_max(event_type, (ts, event_id)), 'error') AS kind,
   nullif(arg_max(floor(value), (ts, event_id)), 3) AS value, false AS flagged
-  FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND user_id % 5 <> 2 GROUP BY 1)"""
+  FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND value > 150 GROUP BY 1)"""
 
 
 def sides(t):
@@ -19,10 +19,10 @@ def sides(t):
         return upsert.last_wins(df.select("user_id", "event_type", "value", "ts", "event_id"),
                                 ["user_id"], ["ts", "event_id"])
 
-    old = newest(t.events.where("ts < TIMESTAMP_NTZ '2024-01-15' AND user_id % 7 <> 3")).select(
+    old = newest(t.events.where("ts < TIMESTAMP_NTZ '2024-01-15' AND value > 150")).select(
         "user_id", F.col("event_type").alias("kind"), F.floor("value").cast("double").alias("value"),
         F.lit(True).alias("flagged"))
-    new = newest(t.events.where("ts >= TIMESTAMP_NTZ '2024-01-10' AND user_id % 5 <> 2")).select(
+    new = newest(t.events.where("ts >= TIMESTAMP_NTZ '2024-01-10' AND value > 150")).select(
         "user_id", F.nullif("event_type", F.lit("error")).alias("kind"),
         F.nullif(F.floor("value").cast("double"), F.lit(3.0)).alias("value"), F.lit(False).alias("flagged"))
     return old, new
