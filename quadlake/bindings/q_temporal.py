@@ -91,3 +91,31 @@ SELECT event_id, status, status = 'active' OR (status = 'idle' AND mi < 15) AS p
 def hours_status(t):
     out = temporal.hours_status(t.events, "ts", "event_type", "America/Los_Angeles", OPEN_HOURS)
     return out.select("event_id", "status", "poll", "local_hour")
+
+
+def _events_stream(t, files_per_batch=None):
+    from quadlake.sources import schemas
+    from quadlake.streaming import snapshots
+
+    return snapshots.landed(t.spark, t.folder, schemas.ddl("events"), files_per_batch, "events.parquet")
+
+
+@query("stream_latest", """
+SELECT 'current' AS kind, user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id
+UNION ALL SELECT 'history', user_id, max(event_id) FROM events GROUP BY user_id, ts
+UNION ALL SELECT 'daily', user_id, arg_min(event_id, (ts, event_id)) FROM events GROUP BY user_id, CAST(ts AS DATE)
+""")
+def stream_latest(t):
+    from quadlake.streaming import snapshots
+
+    root = snapshots.run_folder(t.spark, "latest")
+    latest = snapshots.start_latest(_events_stream(t), f"{root}/latest", "user_id", "ts", "event_id")
+    daily = snapshots.start_daily_first(_events_stream(t), f"{root}/daily", "user_id", "ts", "event_id")
+    latest.awaitTermination()
+    daily.awaitTermination()
+    current = snapshots.current_table(t.spark, f"{root}/latest", "current", snapshots.last_batch(latest))
+    history = snapshots.history_table(t.spark, f"{root}/latest", "history")
+    first = snapshots.history_table(t.spark, f"{root}/daily", "daily")
+    tagged = {"current": current, "history": history, "daily": first}
+    parts = [df.select(F.lit(name).alias("kind"), "user_id", "event_id") for name, df in tagged.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,120 +52,143 @@ def first_block(audits: DataFrame, key: Sequence[str], blocks: str, kind: str, v
             .select(*key, F.parse_json("_json").alias("block")))
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("v", path, "string")
+def _get(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "string")
 
 
-def _rules(path: str) -> Column:
-    return F.coalesce(F.expr(f"try_variant_get(v, '{path}', 'array<variant>')"),
-                      F.expr("cast(array() as array<variant>)"))
+def _rules(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
 
-def rule_nodes(audits: DataFrame, key: str, rules: str, max_depth: int) -> tuple[list[DataFrame], DataFrame]:
-    """(rules by level, rules below `max_depth`).
+def _kind(v: Column) -> Column:
+    return _get(v, "$.ruleType")
 
-    A level is a step in the requirement tree: rules inside nested conditions belong to
-    the outermost condition, their `owner`. Paths order siblings as in the source.
+
+def _branches(v: Column) -> Column:
+    """Rules of both parts of a condition."""
+    return F.concat(_rules(v, "$.requirement.ifPart.ruleArray"), _rules(v, "$.requirement.elsePart.ruleArray"))
+
+
+def _placed(inner: Column, path: Column) -> Column:
+    """Rules of an array with their paths, which order siblings as in the source."""
+    return F.transform(inner, lambda v, i: F.struct(
+        F.concat_ws(".", F.nullif(path, F.lit("")), F.lpad(i.cast("string"), 4, "0")).alias("path"), v.alias("v")))
+
+
+def _children(level: Column, rounds: int) -> Column:
+    """Placed rules below the nodes of a level; nested conditions give their own rules.
+
+    Each step is its own transform, so that a value is computed once per rule.
     """
-    step = F.lpad(F.col("i").cast("string"), 4, "0")
-    level = audits.select(
-        key, F.posexplode(F.expr(f"try_variant_get({rules}, '$', 'array<variant>')")).alias("i", "v"))
-    level = level.select(key, step.alias("path"), F.lit("").alias("owner"),
-                         F.array().cast("array<string>").alias("owners"), "v")
-    levels = []
-    for _ in range(max_depth):
-        kind = _text("$.ruleType")
-        levels.append(level.withColumn("rule_type", kind))
-        inner = F.when(kind == "IfStmt", F.concat(
-            _rules("$.requirement.ifPart.ruleArray"), _rules("$.requirement.elsePart.ruleArray"))
-        ).when(kind.isin("Group", "Subset"), _rules("$.ruleArray"))
-        opened = level.withColumn("_if", kind == "IfStmt").select(
-            key, F.col("path").alias("owner"), F.concat("owners", F.array("path")).alias("owners"), "_if",
-            F.posexplode(inner).alias("i", "v")).withColumn("path", F.concat_ws(".", "owner", step))
-        level = _open_nested_conditions(opened, key, max_depth)
-    return levels, level
-
-
-def _open_nested_conditions(rows: DataFrame, key: str, rounds: int) -> DataFrame:
-    """Replace conditions directly inside a condition by their own rules."""
-    cols = [key, "path", "owner", "owners", "v"]
-    out = []
+    nothing = F.expr("cast(array() as array<struct<path: string, v: variant>>)")
+    kinds = F.transform(level, lambda n: F.struct(n.alias("n"), _kind(n["v"]).alias("kind")))
+    parents = F.filter(kinds, lambda x: x["kind"].isin("IfStmt", "Group", "Subset"))
+    opened = F.transform(parents, lambda x: F.struct(
+        x["n"].alias("n"), (x["kind"] == "IfStmt").alias("condition"),
+        F.coalesce(_placed(F.when(x["kind"] == "IfStmt", _branches(x["n"]["v"])).otherwise(
+            _rules(x["n"]["v"], "$.ruleArray")), x["n"]["path"]), nothing).alias("placed")))
     for _ in range(rounds):
-        nested = F.col("_if") & (_text("$.ruleType") == "IfStmt")
-        out.append(rows.where(~nested).select(*cols))
-        inner = F.concat(_rules("$.requirement.ifPart.ruleArray"), _rules("$.requirement.elsePart.ruleArray"))
-        step = F.lpad(F.col("i").cast("string"), 4, "0")
-        rows = (rows.where(nested)
-                .select(key, "owner", "owners", "_if", F.col("path").alias("_p"), F.posexplode(inner).alias("i", "v"))
-                .withColumn("path", F.concat_ws(".", "_p", step)).drop("_p", "i"))
-    return reduce(DataFrame.unionByName, out)
+        opened = F.transform(opened, lambda x: F.struct(
+            x["n"].alias("n"), x["condition"].alias("condition"),
+            F.when(x["condition"] & F.exists(x["placed"], lambda k: _kind(k["v"]) == "IfStmt"),
+                   F.flatten(F.transform(x["placed"], lambda k: F.when(
+                       _kind(k["v"]) == "IfStmt", _placed(_branches(k["v"]), k["path"])).otherwise(F.array(k)))))
+            .otherwise(x["placed"]).alias("placed")))
+    return F.flatten(F.transform(opened, lambda x: F.transform(x["placed"], lambda k: F.struct(
+        k["path"].alias("path"), x["n"]["path"].alias("owner"),
+        F.concat(x["n"]["owners"], F.array(x["n"]["path"])).alias("owners"), k["v"].alias("v")))))
+
+
+def _course_names(v: Column) -> Column:
+    return F.transform(_rules(v, "$.requirement.courseArray"), lambda c: F.concat(
+        _get(c, "$.discipline"), F.lit(" "), _get(c, "$.number"),
+        F.coalesce(F.concat(F.lit("-"), _get(c, "$.numberEnd")), F.lit(""))))
 
 
-def _courses(path: str) -> Column:
-    return F.transform(_rules(path), lambda c: F.concat(
-        F.try_variant_get(c, "$.discipline", "string"), F.lit(" "), F.try_variant_get(c, "$.number", "string"),
-        F.coalesce(F.concat(F.lit("-"), F.try_variant_get(c, "$.numberEnd", "string")), F.lit(""))))
+def _resolved(level: Column, lower: Column | None) -> Column:
+    """Requirements of the nodes of a level, given the resolved rules they own.
+
+    One transform per step, so that each value is computed once per rule.
+    """
+    nothing = F.expr("cast(array() as array<struct<kind: string, rule_type: string, requirement_id: string>>)")
+
+    def keep(x: Column, *names: str) -> list[Column]:
+        return [x[n].alias(n) for n in names]
+
+    read = F.transform(level, lambda n: F.struct(
+        *keep(n, "path", "owner", "owners"), _kind(n["v"]).alias("rule_type"),
+        plain_label(_get(n["v"], "$.label")).alias("text"),
+        _get(n["v"], "$.requirement.classesBegin").try_cast("int").alias("classes"),
+        _get(n["v"], "$.requirement.creditsBegin").try_cast("int").alias("credits"),
+        _get(n["v"], "$.requirement.numberOfGroups").try_cast("int").alias("groups"),
+        _course_names(n["v"]).alias("listed"),
+        (nothing if lower is None else F.filter(lower, lambda c: c["owner"] == n["path"])).alias("inner")))
+    facts = ["path", "owner", "owners", "rule_type", "text", "classes", "credits", "groups", "listed"]
+    counted = F.transform(read, lambda n: F.struct(
+        *keep(n, *facts), F.size(n["inner"]).alias("n_rules"),
+        F.exists(n["inner"], lambda c: F.coalesce(c["rule_type"] == "Block", F.lit(False))).alias("blocked"),
+        F.array_compact(F.transform(n["inner"], lambda c: c["requirement_id"])).alias("ids")))
+
+    def kind(n: Column) -> Column:
+        rule = n["rule_type"]
+        return (F.when((rule == "Course") & n["classes"].isNotNull(), "Course")
+                .when((rule == "Course") & n["credits"].isNotNull(), "Unit")
+                .when(rule.isin("Group", "Subset"), "Group")
+                .when((rule == "IfStmt") & ~n["blocked"] & (n["n_rules"] > 1), "Group")
+                .when(rule.isin("Complete", "Incomplete"), "Marker"))
+
+    known = F.transform(counted, lambda n: F.struct(
+        *keep(n, *facts, "n_rules", "blocked", "ids"), kind(n).alias("kind")))
+
+    def needed(n: Column) -> Column:
+        rule = n["rule_type"]
+        return (F.when(n["kind"] == "Course", n["classes"]).when(n["kind"] == "Unit", n["credits"])
+                .when(rule == "Group", n["groups"]).when(rule == "Subset", F.size(n["ids"]))
+                .when(n["kind"].isNotNull() & (rule == "IfStmt"), 1))
+
+    def salt(n: Column) -> Column:
+        return (F.when(n["kind"].isin("Course", "Unit"), F.array_join(n["listed"], "_"))
+                .when(n["kind"] == "Marker", n["text"]).otherwise(F.array_join(n["ids"], "_")))
+
+    def passed(n: Column) -> Column:
+        """A condition around a single rule stands for that rule."""
+        return F.when((n["rule_type"] == "IfStmt") & ~n["blocked"] & (n["n_rules"] == 1), F.get(n["ids"], F.lit(0)))
+
+    return F.transform(known, lambda n: F.struct(
+        *keep(n, "path", "owner", "owners", "rule_type", "blocked", "kind"),
+        F.when(n["kind"].isNotNull(), F.when(n["rule_type"] == "IfStmt", SELECT_ONE).otherwise(n["text"])).alias("label"),
+        needed(n).alias("needed"), F.when(n["kind"].isin("Course", "Unit"), n["listed"]).alias("courses"),
+        F.when(n["kind"].isNotNull(), requirement_id(n["kind"], salt(n))).otherwise(passed(n)).alias("requirement_id")))
 
 
 def requirement_nodes(audits: DataFrame, key: str, rules: str, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(requirements, rules nested too deeply to be read).
+    """(requirements, keys of audits with rules nested deeper than `max_depth`).
 
     Columns: key, path, parent_path, kind, label, needed, courses, requirement_id.
     Blocks and non-course rules vanish, conditions become "select one" groups or their
     only rule, a condition around a block vanishes whole. Ids hash the contents from
-    the leaves upwards. All rules of one parent come from one source document.
+    the leaves upwards. A tree never leaves its row: levels are arrays built from the
+    root down and resolved from the leaves up, so the job has no shuffle. A level is a
+    step in the requirement tree; `owner` is the rule that holds a rule there.
     """
-    levels, deeper = rule_nodes(audits, key, rules, max_depth)
-    none = F.lit(None).cast("string")
-    resolved: list[DataFrame] = []
-    below: DataFrame | None = None
-    for level in reversed(levels):
-        if below is None:
-            rows = level.withColumns({"n_rules": F.lit(0), "has_block": F.lit(False),
-                                      "child_ids": F.array().cast("array<string>")})
-        else:
-            inner = below.groupBy(key, F.col("owner").alias("path")).agg(
-                F.count(F.lit(1)).cast("int").alias("n_rules"),
-                F.bool_or(F.col("rule_type") == "Block").alias("has_block"),
-                F.transform(F.array_sort(F.collect_list(F.when(
-                    F.col("requirement_id").isNotNull(), F.struct("path", "requirement_id")))),
-                    lambda x: x["requirement_id"]).alias("child_ids"))
-            rows = level.join(inner, [key, "path"], "left").withColumns({
-                "n_rules": F.coalesce("n_rules", F.lit(0)), "has_block": F.coalesce("has_block", F.lit(False)),
-                "child_ids": F.coalesce("child_ids", F.array().cast("array<string>"))})
-        kind_of = F.col("rule_type")
-        courses = _courses("$.requirement.courseArray")
-        classes, credits = _text("$.requirement.classesBegin"), _text("$.requirement.creditsBegin")
-        condition = (kind_of == "IfStmt") & ~F.col("has_block")
-        kind = (F.when((kind_of == "Course") & classes.isNotNull(), "Course")
-                .when((kind_of == "Course") & credits.isNotNull(), "Unit")
-                .when(kind_of.isin("Group", "Subset"), "Group")
-                .when(condition & (F.col("n_rules") > 1), "Group")
-                .when(kind_of.isin("Complete", "Incomplete"), "Marker"))
-        label = F.when(kind_of == "IfStmt", SELECT_ONE).otherwise(plain_label(_text("$.label")))
-        needed = (F.when(kind == "Course", classes.try_cast("int")).when(kind == "Unit", credits.try_cast("int"))
-                  .when(kind_of == "Group", _text("$.requirement.numberOfGroups").try_cast("int"))
-                  .when(kind_of == "Subset", F.size("child_ids")).when(kind_of == "IfStmt", 1))
-        salt = (F.when(kind.isin("Course", "Unit"), F.array_join(courses, "_"))
-                .when(kind == "Marker", label).otherwise(F.array_join("child_ids", "_")))
-        own_id = F.when(kind.isNotNull(), requirement_id(kind, salt))
-        # A condition around a single rule stands for that rule.
-        passed = F.when(condition & (F.col("n_rules") == 1), F.get("child_ids", F.lit(0)))
-        below = rows.select(
-            key, "path", "owner", "owners", "rule_type", kind.alias("kind"),
-            F.when(kind.isNotNull(), label).otherwise(none).alias("label"), needed.alias("needed"),
-            F.when(kind.isin("Course", "Unit"), courses).alias("courses"),
-            F.coalesce(own_id, passed).alias("requirement_id"))
-        resolved.append(below)
-    nodes = reduce(DataFrame.unionByName, resolved)
-    blocked = nodes.where("rule_type = 'Block'").select(key, F.col("owner").alias("_o")).distinct()
-    conditions = nodes.where("rule_type = 'IfStmt'").select(key, F.col("path").alias("_o"))
-    dropped = blocked.join(conditions, [key, "_o"], "left_semi")
-    inside = (nodes.select(key, "path", F.explode("owners").alias("_o"))
-              .join(dropped, [key, "_o"], "left_semi").select(key, "path").distinct())
-    kept = nodes.where(F.col("kind").isNotNull()).join(inside, [key, "path"], "left_anti")
-    return (kept.select(key, "path", F.col("owner").alias("parent_path"), "kind", "label", "needed",
-                        "courses", "requirement_id"), deeper)
+    first = F.transform(_placed(_rules(F.col(rules), "$"), F.lit("")), lambda k: F.struct(
+        k["path"].alias("path"), F.lit("").alias("owner"), F.array().cast("array<string>").alias("owners"),
+        k["v"].alias("v")))
+    df = audits.select(key, first.alias("_l0"))
+    for i in range(max_depth):
+        df = df.withColumn(f"_l{i + 1}", _children(F.col(f"_l{i}"), max_depth))
+    deeper = df.where(F.size(f"_l{max_depth}") > 0).select(key)
+    df = df.withColumn(f"_r{max_depth - 1}", _resolved(F.col(f"_l{max_depth - 1}"), None))
+    for i in reversed(range(max_depth - 1)):
+        df = df.withColumn(f"_r{i}", _resolved(F.col(f"_l{i}"), F.col(f"_r{i + 1}")))
+    nodes = df.select(key, F.concat(*[F.col(f"_r{i}") for i in range(max_depth)]).alias("_nodes"))
+    dropped = F.transform(F.filter("_nodes", lambda n: (n["rule_type"] == "IfStmt") & n["blocked"]), lambda n: n["path"])
+    kept = (nodes.withColumn("_dropped", dropped)
+            .select(key, F.explode(F.filter("_nodes", lambda n: n["kind"].isNotNull())).alias("n"), "_dropped")
+            .where(~F.arrays_overlap("n.owners", "_dropped")))
+    return kept.select(
+        key, "n.path", F.col("n.owner").alias("parent_path"), "n.kind", "n.label", "n.needed", "n.courses",
+        "n.requirement_id"), deeper
 
 
 def needs_specialization(audits: DataFrame, rules: str) -> Column:
