@@ -223,9 +223,9 @@ def require_one_to_one(parent: DataFrame, key: str, children: Mapping[str, DataF
     return whole, violations
 
 
-def hydrate(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
+def hydrate(ids: DataFrame, records: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Full records of a page of ranked ids."""
-    return ids.join(records, key, "inner")
+    return ids.join(records, key, how)
 
 
 def slots_matching(rooms: DataFrame, slots: DataFrame, key: str, start: str, end: str,

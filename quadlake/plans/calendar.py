@@ -45,7 +45,7 @@ def calendar_terms(pages: DataFrame, key: str, year: str, text: str) -> DataFram
     def date(text_: Column, later_from: int) -> Column:
         y = F.col("_y") + F.when(F.col("t.i") > later_from, 1).otherwise(0)
         month = parsing.month_number(F.substring_index(text_, " ", 1))
-        day = F.regexp_extract(text_, r"^\S+ (\d+)", 1).try_cast("int")
+        day = parsing.extract_int(text_, r"^\S+ (\d+)")
         return parsing.civil_date(y, month, day)
 
     range_text = F.regexp_replace(cell("finals"), "–", "-")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.functions import fixed
+from quadlake.functions import fixed, parsing
 from quadlake.operators.upsert import last_wins
 
 
@@ -83,7 +83,7 @@ def menu_tables(products: DataFrame, date_map: DataFrame, codes: Mapping[str, in
         return F.get(values(name), F.lit(0))
 
     def listed(name: str) -> Column:
-        return F.coalesce(F.transform(values(name), lambda v: F.trim(v).try_cast("int")), F.array(F.lit(0)))
+        return F.coalesce(F.transform(values(name), parsing.int_or_null), F.array(F.lit(0)))
 
     serving = F.split(text("serving_combined"), " ")
     all_codes = F.concat(listed("allergens_intolerances"), listed("recipe_attributes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -23,11 +25,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build(master: str | None = None, shuffle_partitions: int | None = None,
+          extra: Mapping[str, str] | None = None) -> SparkSession:
     """A session for local runs and tests; clusters bring their own."""
     builder = SparkSession.builder.appName("quadlake").config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     return tune(builder.getOrCreate())

@@ -23,14 +23,14 @@ from quadlake.operators.upsert import last_wins
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a local temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="quadlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
+    return context.getCheckpointDir()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
