@@ -191,7 +191,7 @@ def requirement_nodes(audits: DataFrame, key: str, rules: str, max_depth: int =
         "n.requirement_id"), deeper
 
 
-def needs_specialization(audits: DataFrame, rules: str) -> Column:
+def needs_specialization(rules: str) -> Column:
     """Whether a rule that was not met advises to pick a specialization; `rules` is an
     array<struct(if_else_part, advice array<string>)>."""
     exempt = F.array(*[F.lit(x) for x in NOT_REQUIRED_ADVICE])
