@@ -56,10 +56,15 @@ def orphan_sweep(parent: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     return parent.join(refs.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
 
 
-def retention_trim(df: DataFrame, ts: str, as_of: str, months: int = 15) -> DataFrame:
-    """Rows not older than the retention period; a plain range filter on the scan."""
+def retention_trim(df: DataFrame, ts: str, as_of: str, months: int = 15,
+                   day: str | None = None) -> DataFrame:
+    """Rows not older than the retention period; a plain range filter on the scan.
+
+    With `day`, a date partition column, whole expired partitions are not even read.
+    """
     cutoff = F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(months)} MONTHS")
-    return df.where(F.col(ts) >= cutoff)
+    kept = df.where(F.col(ts) >= cutoff)
+    return kept if day is None else kept.where(F.col(day) >= cutoff.cast("date"))
 
 
 def flag_reset_set(df: DataFrame, hits: DataFrame, keys: Sequence[str], flags: Mapping[str, str],

@@ -66,9 +66,9 @@ def resolve_names(names: DataFrame, directory: DataFrame, name: str = "name",
     # Each entry under its own first letter and under "no initial given".
     people = people.withColumn("_initial", F.explode(F.array_distinct(F.array(F.col("_first"), F.lit("")))))
     words = people.withColumn("_word", F.explode(F.array_distinct(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))))
-    # A name token has a few letters, hence a few prefixes.
-    prefixes = (words.where(F.length("_word") > 0)
-                .withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_word"))))
+    # Prefixes only of the lengths some name asks for; there are as many as letters in a word.
+    lengths = wanted.where("NOT _exact").agg(F.collect_set(F.length("_word"))).scalar()
+    prefixes = (words.withColumn("_len", F.explode(lengths)).where(F.length("_word") >= F.col("_len"))
                 .withColumn("_word", F.expr("substring(_word, 1, _len)")).drop("_len")
                 .dropDuplicates(["person_id", "_initial", "_word"]))
 

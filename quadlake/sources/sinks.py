@@ -30,10 +30,11 @@ def publish(df: DataFrame, root: str, name: str, version: str) -> str:
     """Write one version of a table and point the catalog view `name` at it.
 
     Readers of the view see the old version until the new one is complete, and the
-    job may read the very table it replaces.
+    job may read the very table it replaces. Each run takes a version of its own; a run
+    that failed half-way can be repeated.
     """
     path = posixpath.join(root, name, f"v={version}")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     files = df.sparkSession.read.parquet(path)
     files.createOrReplaceTempView(name)
     return path
