@@ -124,3 +124,8 @@ def content_id(payload) -> Column:
 def level_of(number) -> Column:
     n = _c(number)
     return (F.when(n < 100, "LowerDiv").when(n < 200, "UpperDiv").otherwise("Graduate"))
+
+
+def sort_codes(codes) -> Column:
+    """Array of struct(department, numeric, number) by department, number value, then text."""
+    return F.array_sort(_c(codes))

@@ -206,6 +206,22 @@ def attach_section_key(records: DataFrame, section: DataFrame, keys: Sequence[st
     return matched.groupBy(*rest).agg(F.min(section_key).alias(section_key))
 
 
+def attach_offering(cards: DataFrame, offerings: DataFrame, year: str, term: str, course: str,
+                    offering_key: str) -> DataFrame:
+    """Offering of each card by (year, term, department, number); the course text is split at
+    its last blank. The first offering wins, cards without one are left out.
+
+    offerings: year, term, department, course_number, `offering_key`.
+    """
+    number = F.substring_index(F.trim(course), " ", -1)
+    split = cards.withColumns({
+        "department": F.trim(F.left(F.trim(course), F.length(F.trim(course)) - F.length(number))),
+        "course_number": number})
+    keys = [year, term, "department", "course_number"]
+    firsts = offerings.groupBy(*keys).agg(F.min(offering_key).alias(offering_key))
+    return split.join(firsts, keys, "inner")
+
+
 def require_one_to_one(parent: DataFrame, key: str, children: Mapping[str, DataFrame]
                        ) -> tuple[DataFrame, DataFrame]:
     """Parents with all their one-to-one children, and the parents that miss one."""

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quadlake.functions import fixed
 from quadlake.functions.project import label
 from quadlake.operators.upsert import last_wins
+from quadlake.plans.rules import classify_constraints, invert_exclusion
 
 
 def map_case_insensitive(left: DataFrame, mid: DataFrame, right: DataFrame, left_col: str,
@@ -93,6 +95,42 @@ def expand_patterns(patterns: DataFrame, catalogue: DataFrame, keys: Sequence[st
     return whole.unionByName(by_prefix).unionByName(by_range).unionByName(by_id).distinct()
 
 
+def requirement_courses(includes: DataFrame, excludes: DataFrame, catalogue: DataFrame,
+                        keys: Sequence[str], catalog_year: str) -> DataFrame:
+    """Courses that fulfil each requirement, with the constraints that remain on them.
+
+    includes, excludes: keys, pattern, clauses (see `rules.classify_constraints`).
+    catalogue: course_id, shortened_dept, course_number, course_numeric, min_units,
+    max_units. An included course goes if it never meets its clauses, an excluded one if
+    the exclusion has no clauses or leaves nothing allowed. Clauses met only sometimes
+    stay with the course: `any_of` holds the included lists, `all_of` the inverted ones.
+    """
+    units = catalogue.select("course_id", "min_units", "max_units").distinct()
+    clause_type = includes.schema["clauses"].dataType
+    none = F.array().cast(ArrayType(clause_type))
+
+    def expanded(patterns: DataFrame) -> DataFrame:
+        coded = patterns.select(*keys, "pattern", "clauses").distinct()
+        hits = expand_patterns(coded, catalogue, [*keys, "clauses"])
+        return classify_constraints(hits.join(units, "course_id"), "clauses", "min_units", "max_units", catalog_year)
+
+    def sometimes(name: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("match") == "sometimes", F.col("clauses")))).alias(name)
+
+    # A course has as many lists as a requirement has patterns for it: a handful.
+    kept = expanded(includes).where("match <> 'never'").groupBy(*keys, "course_id").agg(sometimes("any_of"))
+    inverted = excludes.withColumns({
+        "_plain": F.size("clauses") == 0,
+        "clauses": F.coalesce(invert_exclusion("clauses"), F.array().cast(clause_type))})
+    plain = expand_patterns(inverted.where("_plain"), catalogue, list(keys))
+    limits = expanded(inverted.where("NOT _plain"))
+    gone = plain.unionByName(limits.where("match = 'never'").select(*keys, "course_id")).distinct()
+    remaining = limits.groupBy(*keys, "course_id").agg(sometimes("all_of"))
+    on = [*keys, "course_id"]
+    return (kept.join(gone, on, "left_anti").join(remaining, on, "left")
+            .withColumn("all_of", F.coalesce("all_of", none)))
+
+
 def load_programs(records: DataFrame, catalog_year: str) -> dict[str, DataFrame]:
     """Fan one (major, specialization) record out to its tables.
 
