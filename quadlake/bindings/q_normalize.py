@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadlake.bindings.registry import query
+from quadlake.bindings.roles import cte, role
 from quadlake.functions import fixed, parsing
 from quadlake.plans import calendar, catalogue, dining, listings
 
@@ -162,11 +163,11 @@ def alias_patch(t):
     return patched.select("p_partkey", F.array_join(shown, ";").alias("groups"))
 
 
-@query("calendar_lines", """
-WITH y AS (SELECT DISTINCT n_nationkey AS key, 2000 + n_nationkey AS y FROM nation),
-t AS (SELECT key, y, i, q FROM y, (VALUES (0, 'Fall'), (1, 'Winter'), (2, 'Spring'), (3, 'Summer1'), (4, 'Summer10wk'), (5, 'Summer2')) v(i, q))
+@query("calendar_lines", f"""
+{cte('place')}, y AS (SELECT place_key AS key, c_nationkey AS n, 2000 + c_nationkey AS y FROM place),
+t AS (SELECT key, n, y, i, q FROM y, (VALUES (0, 'Fall'), (1, 'Winter'), (2, 'Spring'), (3, 'Summer1'), (4, 'Summer10wk'), (5, 'Summer2')) v(i, q))
 SELECT key, CAST(y + CAST(i > 0 AS INT) AS VARCHAR) AS year, q AS quarter,
-  CAST(make_date(CAST(y + CAST(i > 0 AS INT) AS INT), CAST([9, 1, 4, 6, 7, 8][i + 1] AS INT), CAST(key + 1 AS INT)) AS VARCHAR) AS instruction_start,
+  CAST(make_date(CAST(y + CAST(i > 0 AS INT) AS INT), CAST([9, 1, 4, 6, 7, 8][i + 1] AS INT), CAST(n + 1 AS INT)) AS VARCHAR) AS instruction_start,
   CAST(make_date(CAST(y + CAST(i > 0 AS INT) AS INT), CAST([12, 3, 6, 7, 8, 9][i + 1] AS INT), 5) AS VARCHAR) AS instruction_end,
   CAST(make_date(CAST(y + CAST(i > 0 AS INT) AS INT), CAST([12, 3, 6, 7, 8, 9][i + 1] AS INT), CASE WHEN i < 3 THEN 6 ELSE 8 END) AS VARCHAR) AS finals_start,
   CAST(CASE WHEN i = 1 THEN make_date(CAST(y + 1 AS INT), 4, 2) ELSE make_date(CAST(y + CAST(i > 0 AS INT) AS INT), CAST([12, 3, 6, 7, 8, 9][i + 1] AS INT), CASE WHEN i < 3 THEN 12 ELSE 8 END) END AS VARCHAR) AS finals_end,
@@ -174,7 +175,7 @@ SELECT key, CAST(y + CAST(i > 0 AS INT) AS VARCHAR) AS year, q AS quarter,
 FROM t
 """)
 def calendar_lines(t):
-    day = (F.col("n_nationkey") + 1).cast("string")
+    day = (F.col("c_nationkey") + 1).cast("string")
 
     def cells(*parts):
         return F.concat(*[x for p in parts for x in (F.lit("\n  "), p if not isinstance(p, str) else F.lit(p))], F.lit("\n"))
@@ -188,28 +189,29 @@ def calendar_lines(t):
         F.lit("Final Examinations"), cells("Dec 6-12", "Mar 6–Apr 2", "Jun 6–12"), F.lit("Summer\nSchedule of Classes Available"),
         cells("Mar 20", "Mar 20", "Mar 20"), F.lit("Instruction Begins"), cells(*months("Jun", "Jul", "Aug")),
         F.lit("Instruction Ends"), cells("Jul 5", "Aug 5", "Sep 5"), F.lit("Final examinations"), cells("Jul 8", "Aug 8", "Sep 8"))
-    pages = t.nation.select(F.col("n_nationkey").alias("key"), (F.col("n_nationkey") + 2000).alias("y"), text.alias("text"))
+    pages = role(t, "place").select(F.col("place_key").alias("key"), (F.col("c_nationkey") + 2000).alias("y"), text.alias("text"))
     terms = calendar.calendar_terms(pages, "key", "y", "text")
     dates = ["instruction_start", "instruction_end", "finals_start", "finals_end", "soc_available"]
     return terms.select("key", "year", "quarter", *[F.col(d).cast("string").alias(d) for d in dates])
 
 
-@query("expand_hours", """
-SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN '09:00' WHEN n_regionkey = 2 THEN '10:00' END AS open_su,
-  CASE WHEN n_regionkey < 2 THEN '07:15' WHEN n_regionkey = 2 THEN '10:00' WHEN n_regionkey = 3 THEN '08:00' END AS open_mo,
-  CASE WHEN n_regionkey = 0 THEN '11:00' WHEN n_regionkey = 1 THEN CAST(12 + n_nationkey % 10 AS VARCHAR) || ':00' END AS close_we,
-  CASE WHEN n_regionkey < 2 THEN '07:15' WHEN n_regionkey = 2 THEN '10:00' END AS open_fr,
-  CASE WHEN n_regionkey = 0 THEN '12:00' WHEN n_regionkey = 2 THEN '14:00' END AS close_sa
-FROM nation
+@query("expand_hours", f"""
+{cte('place')}
+SELECT place_key, CASE WHEN area = 0 THEN '09:00' WHEN area = 2 THEN '10:00' END AS open_su,
+  CASE WHEN area < 2 THEN '07:15' WHEN area = 2 THEN '10:00' WHEN area = 3 THEN '08:00' END AS open_mo,
+  CASE WHEN area = 0 THEN '11:00' WHEN area = 1 THEN CAST(12 + c_nationkey % 10 AS VARCHAR) || ':00' END AS close_we,
+  CASE WHEN area < 2 THEN '07:15' WHEN area = 2 THEN '10:00' END AS open_fr,
+  CASE WHEN area = 0 THEN '12:00' WHEN area = 2 THEN '14:00' END AS close_sa
+FROM place
 """)
 def expand_hours(t):
-    close = F.concat((F.col("n_nationkey") % 10 + 12).cast("string"), F.lit(":00"))
-    text = (F.when(F.col("n_regionkey") == 0, F.lit("Mo-Fr 07:15-11:00; Sa-Su 09:00-12:00"))
-            .when(F.col("n_regionkey") == 1, F.concat(F.lit("Mo-Fr  07:15-11:00;We 12:00-"), close, F.lit("; Xx 1:00-2:00")))
-            .when(F.col("n_regionkey") == 2, F.lit("Fr-Mo 10:00-14:00; Tu"))
-            .when(F.col("n_regionkey") == 3, F.lit("Mo-Th 08:00-9:00; Tu-Th off")).otherwise(F.lit("")))
-    hours = dining.expand_hours(t.nation.select("n_nationkey", text.alias("hours")), "hours")
-    return hours.select("n_nationkey", "open_su", "open_mo", "close_we", "open_fr", "close_sa")
+    close = F.concat((F.col("c_nationkey") % 10 + 12).cast("string"), F.lit(":00"))
+    text = (F.when(F.col("area") == 0, F.lit("Mo-Fr 07:15-11:00; Sa-Su 09:00-12:00"))
+            .when(F.col("area") == 1, F.concat(F.lit("Mo-Fr  07:15-11:00;We 12:00-"), close, F.lit("; Xx 1:00-2:00")))
+            .when(F.col("area") == 2, F.lit("Fr-Mo 10:00-14:00; Tu"))
+            .when(F.col("area") == 3, F.lit("Mo-Th 08:00-9:00; Tu-Th off")).otherwise(F.lit("")))
+    hours = dining.expand_hours(role(t, "place").select("place_key", text.alias("hours")), "hours")
+    return hours.select("place_key", "open_su", "open_mo", "close_we", "open_fr", "close_sa")
 
 
 CODES = {"has_milk": 3, "has_nuts": 7, "is_vegan": 12}

@@ -133,17 +133,18 @@ def minus_keys(t):
     return diff.minus_keys(t.part.select("p_partkey"), excluded, "p_partkey")
 
 
-@query("schedule_periods", """
-SELECT n_nationkey, r_regionkey AS period_id, '07:15' AS open_mo, CASE WHEN n_nationkey > 9 THEN '10:00' END AS close_su FROM nation JOIN region ON r_regionkey = n_regionkey
+@query("schedule_periods", f"""
+{cte('place')}
+SELECT place_key, area AS period_id, '07:15' AS open_mo, CASE WHEN c_nationkey > 9 THEN '10:00' END AS close_su FROM place
 """)
 def schedule_periods(t):
-    hours = F.when(F.col("n_nationkey") > 9, "Mo-Su 07:15-10:00").otherwise("Mo-Fr 07:15-11:00")
-    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    schedules = named.select("n_nationkey", F.array(
+    hours = F.when(F.col("c_nationkey") > 9, "Mo-Su 07:15-10:00").otherwise("Mo-Fr 07:15-11:00")
+    named = role(t, "place").join(t.region, F.col("area") == F.col("r_regionkey"))
+    schedules = named.select("place_key", F.array(
         F.struct(F.col("r_name").alias("period"), hours.alias("hours")),
         F.struct(F.lit("NO SUCH PERIOD").alias("period"), hours.alias("hours"))).alias("meal_periods"))
     periods = t.region.select(F.col("r_name").alias("period"), F.col("r_regionkey").alias("period_id"))
-    return dining.schedule_periods(schedules, periods).select("n_nationkey", "period_id", "open_mo", "close_su")
+    return dining.schedule_periods(schedules, periods).select("place_key", "period_id", "open_mo", "close_su")
 
 
 @query("specialization_advice", """

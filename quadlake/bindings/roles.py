@@ -76,6 +76,12 @@ ROLES: dict[str, tuple[str, list[str]]] = {
         "hour(ts) * 60 + minute(ts) + CAST(floor(value) AS INT) AS end_min",
         "value",
     ]),
+    # Place with a text of its own: one customer.
+    "place": ("customer", [
+        "c_custkey AS place_key",
+        "c_nationkey",
+        "c_nationkey % 5 AS area",
+    ]),
     # Letter and other grade marks, one per event; a section is one (user, day).
     "mark": ("events", [
         "user_id AS course_key",
