@@ -28,6 +28,21 @@ def test_positions_keep_null_keys_and_no_keys(spark, rows):
     assert [r.pos for r in slices.with_position(df, [], ["o", "k"], slices.id_block("o", 1)).orderBy("pos").collect()] == [1, 2, 3]
 
 
+def test_null_order_values_come_first(spark, rows):
+    df = spark.createDataFrame([("a", None), ("a", 0), ("a", -5), ("a", 70), (None, None), (None, 9), ("", 1)], "k string, o long")
+    assert rows(slices.with_position(df, ["k"], ["o"], slices.id_block("o", 10)), "k", "o", "pos") == sorted(
+        [("a", None, 1), ("a", -5, 2), ("a", 0, 3), ("a", 70, 4), (None, None, 1), (None, 9, 2), ("", 1, 1)], key=repr)
+
+
+def test_rows_move_once_for_a_position(spark):
+    df = spark.range(100).selectExpr("id % 7 AS k", "id AS o")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = slices.with_position(df, ["k"], ["o"], slices.id_block("o"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange for the rows; the other three belong to the small table of slice sizes.
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_pages_hold_everything_in_order(skewed):
     df, data = skewed
     pages = slices.paged_lists(df, ["k"], ["o", "id"], slices.id_block("o", 50), F.col("id"), "ids", 7).collect()
