@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quadlake.bindings.q_aggs import course_view
 from quadlake.bindings.q_normalize import _select_list
 from quadlake.bindings.q_programs import _PATTERN_RAW, pattern_catalogue
 from quadlake.bindings.registry import ORACLES, query
@@ -255,9 +256,8 @@ def requirement_courses(t):
     return courses.select("req", "course_id", (F.size("any_of") > 0).alias("limited"), (F.size("all_of") > 0).alias("narrowed"))
 
 
-@query("view_refresh", ORACLES.get("course_view"))
+@query("view_refresh", ORACLES["course_view"])
 def view_refresh(t):
-    from quadlake.bindings.q_aggs import course_view
     from quadlake.sources import sinks
     from quadlake.streaming.snapshots import run_folder
 

@@ -16,7 +16,7 @@ REDACTED = {"name": "REDACTED REDACTED", "email": "noreply@example.org", "depart
 TITLE_TIERS = {"professor": "[Pp]rofessor", "lecturer": "[Ll]ecturer"}
 
 
-def clean_directory(raw: DataFrame) -> DataFrame:
+def clean_directory(raw: DataFrame, redacted: Mapping[str, str] = REDACTED) -> DataFrame:
     """Decoded, title-cased directory rows; students become the redacted row.
 
     Columns: person_id, name, email (base64), department, title, student_level.
@@ -28,10 +28,10 @@ def clean_directory(raw: DataFrame) -> DataFrame:
 
     return raw.select(
         unless(decode_entities("person_id"), STUDENT_ID).alias("person_id"),
-        unless(title_case(decode_entities("name")), REDACTED["name"]).alias("name"),
-        unless(F.unbase64("email").cast("string"), REDACTED["email"]).alias("email"),
-        unless(decode_entities("department"), REDACTED["department"]).alias("department"),
-        unless(decode_entities("title"), REDACTED["title"]).alias("title"))
+        unless(title_case(decode_entities("name")), redacted["name"]).alias("name"),
+        unless(F.unbase64("email").cast("string"), redacted["email"]).alias("email"),
+        unless(decode_entities("department"), redacted["department"]).alias("department"),
+        unless(decode_entities("title"), redacted["title"]).alias("title"))
 
 
 def resolve_names(names: DataFrame, directory: DataFrame, name: str = "name",

@@ -28,3 +28,9 @@ class Tables:
         df = scan(self.spark, f"{self.folder}/{name}.parquet", ddl)
         setattr(self, name, df)
         return df
+
+
+def question_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """Tables for the question functions, one folder each under `root`."""
+    return {name: scan(spark, f"{root.rstrip('/')}/{name}", schemas.QUESTIONS[name])
+            for name in names or schemas.QUESTIONS}

@@ -26,6 +26,18 @@ def replace_partitions(new: DataFrame, path: str, partition_by: Sequence[str]) -
      .partitionBy(*partition_by).parquet(path))
 
 
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """Facts laid out by join key: joins and aggregations on the keys need no exchange.
+
+    Give all tables that join on the keys the same number of buckets, sized so that one
+    bucket fits a task.
+    """
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def publish(df: DataFrame, root: str, name: str, version: str) -> str:
     """Write one version of a table and point the catalog view `name` at it.
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quadlake.operators.temporal import daily_first
 from quadlake.operators.upsert import last_wins
@@ -79,7 +80,8 @@ def _append_new(batch_df: DataFrame, root: str, name: str, batch: int, keys: Seq
     dated = batch_df.withColumn("day", F.col(ts).cast("date"))
     fresh = dated
     if batch > 0:
-        stored = (spark.read.schema(dated.schema.add("batch", "long")).parquet(path)
+        schema = StructType([*dated.schema.fields, StructField("batch", LongType())])
+        stored = (spark.read.schema(schema).parquet(path)
                   .where(F.col("batch") < batch).select(*keys, "day"))
         stored = stored.join(dated.select("day").distinct(), "day", "left_semi")
         fresh = dated.join(stored, [*keys, "day"], "left_anti")

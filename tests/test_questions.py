@@ -196,3 +196,21 @@ def test_rooms_and_calendar(spark, places, rows):
     assert rows(campus.calendar(places, "2025", "Fall"), "instruction_start") == [("2025-09-25",)]
     day = spark.sql("SELECT DATE '2025-10-06' d")
     assert campus.week(places, day, "d").first().display == "Week 2 • Fall Quarter 2025"
+
+
+def test_stored_tables_answer_the_same(spark, offered, tmp_path, rows):
+    from quadlake.sources.scan import question_tables
+
+    names = ["course", "section", "meeting", "place", "staff"]
+    for name in names:
+        offered[name].write.parquet(str(tmp_path / name))
+    stored = question_tables(spark, str(tmp_path), *names)
+    where = dict(building="HALL", days="M", instructor="KNUTH")
+    assert rows(offerings.sections(stored, "2024", "Fall", **where), "section_code") == [(34000,)]
+
+
+def test_every_declared_table_is_valid(spark):
+    from quadlake.sources import schemas
+
+    for name, ddl in schemas.QUESTIONS.items():
+        assert spark.createDataFrame([], ddl).columns, name

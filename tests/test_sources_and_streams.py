@@ -114,3 +114,19 @@ def test_slot_stream(spark, tmp_path, rows):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert snapshots.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    left = spark.range(100).selectExpr("id AS section_key", "id % 7 AS x")
+    right = spark.range(100).selectExpr("id AS section_key", "id % 5 AS y")
+    sinks.save_bucketed(left, "bucket_left", ["section_key"], 4, str(tmp_path / "l"))
+    sinks.save_bucketed(right, "bucket_right", ["section_key"], 4, str(tmp_path / "r"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucket_left").join(spark.table("bucket_right"), "section_key")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucket_left")
+        spark.sql("DROP TABLE bucket_right")
