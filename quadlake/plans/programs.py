@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from quadlake.functions import fixed
 from quadlake.functions.project import label
@@ -105,30 +104,26 @@ def requirement_courses(includes: DataFrame, excludes: DataFrame, catalogue: Dat
     the exclusion has no clauses or leaves nothing allowed. Clauses met only sometimes
     stay with the course: `any_of` holds the included lists, `all_of` the inverted ones.
     """
-    units = catalogue.select("course_id", "min_units", "max_units").distinct()
     clause_type = includes.schema["clauses"].dataType
-    none = F.array().cast(ArrayType(clause_type))
-
-    def expanded(patterns: DataFrame) -> DataFrame:
-        coded = patterns.select(*keys, "pattern", "clauses").distinct()
-        hits = expand_patterns(coded, catalogue, [*keys, "clauses"])
-        return classify_constraints(hits.join(units, "course_id"), "clauses", "min_units", "max_units", catalog_year)
-
-    def sometimes(name: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col("match") == "sometimes", F.col("clauses")))).alias(name)
-
-    # A course has as many lists as a requirement has patterns for it: a handful.
-    kept = expanded(includes).where("match <> 'never'").groupBy(*keys, "course_id").agg(sometimes("any_of"))
-    inverted = excludes.withColumns({
-        "_plain": F.size("clauses") == 0,
-        "clauses": F.coalesce(invert_exclusion("clauses"), F.array().cast(clause_type))})
-    plain = expand_patterns(inverted.where("_plain"), catalogue, list(keys))
-    limits = expanded(inverted.where("NOT _plain"))
-    gone = plain.unionByName(limits.where("match = 'never'").select(*keys, "course_id")).distinct()
-    remaining = limits.groupBy(*keys, "course_id").agg(sometimes("all_of"))
-    on = [*keys, "course_id"]
-    return (kept.join(gone, on, "left_anti").join(remaining, on, "left")
-            .withColumn("all_of", F.coalesce("all_of", none)))
+    nothing = F.array().cast(clause_type)
+    wanted = includes.select(*keys, "pattern", "clauses", F.lit("in").alias("role"))
+    unwanted = excludes.select(
+        *keys, "pattern", F.coalesce(invert_exclusion("clauses"), nothing).alias("clauses"),
+        F.when(F.size("clauses") == 0, "out").otherwise("limit").alias("role"))
+    units = catalogue.select("course_id", "min_units", "max_units").distinct()
+    hits = expand_patterns(wanted.unionByName(unwanted), catalogue, [*keys, "clauses", "role"])
+    rated = classify_constraints(hits.join(units, "course_id"), "clauses", "min_units", "max_units", catalog_year)
+    role, match = F.col("role"), F.col("match")
+
+    def sometimes(of: str, name: str) -> Column:
+        # A course has as many lists as a requirement has patterns for it: a handful.
+        return F.array_sort(F.collect_set(F.when((role == of) & (match == "sometimes"), F.col("clauses")))).alias(name)
+
+    per_course = rated.groupBy(*keys, "course_id").agg(
+        F.bool_or((role == "in") & (match != "never")).alias("_in"),
+        F.bool_or((role == "out") | ((role == "limit") & (match == "never"))).alias("_out"),
+        sometimes("in", "any_of"), sometimes("limit", "all_of"))
+    return per_course.where("_in AND NOT _out").drop("_in", "_out")
 
 
 def load_programs(records: DataFrame, catalog_year: str) -> dict[str, DataFrame]:
