@@ -2,19 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from quadlake.bindings.raw_texts import raw_cte, raw_rows
 from quadlake.bindings.registry import query
 from quadlake.bindings.roles import cte, role
-from quadlake.functions import fixed, parsing
 from quadlake.plans import calendar, catalogue, dining, listings
 
-_MEETING_RAW = """raw AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'MWF' WHEN 'click' THEN 'TuTh' WHEN 'signup' THEN 'Sa'
-    WHEN 'purchase' THEN 'SuTh' ELSE 'TBA' END AS days,
-  CASE WHEN event_type = 'error' THEN 'TBA' ELSE CAST(hour(ts) % 12 + 1 AS STRING) || ':' || lpad(CAST(minute(ts) AS STRING), 2, '0') || '-'
-    || CAST(user_id % 12 + 1 AS STRING) || ':' || lpad(CAST(event_id % 60 AS STRING), 2, '0') || CASE WHEN value > 30 THEN 'p' ELSE '' END END AS time FROM events)"""
-
-
 @query("normalize_meetings", f"""
-WITH {_MEETING_RAW},
+WITH {raw_cte('meeting')},
 p AS (SELECT *, time = 'TBA' AS tba, time LIKE '%p' AS pm,
   TRY_CAST(regexp_extract(time, '^([0-9]+):', 1) AS INT) % 12 * 60 + TRY_CAST(regexp_extract(time, '^[0-9]+:([0-9]+)', 1) AS INT) AS s,
   TRY_CAST(regexp_extract(time, '-([0-9]+):', 1) AS INT) % 12 * 60 + TRY_CAST(regexp_extract(time, '-[0-9]+:([0-9]+)', 1) AS INT) AS e FROM raw)
@@ -23,37 +17,15 @@ SELECT event_id, days IN ('MWF') AS monday, days IN ('TuTh', 'SuTh') AS thursday
   CASE WHEN tba THEN NULL WHEN pm THEN e + 720 WHEN s > e THEN e + 1440 ELSE e END AS end_minute, tba AS time_is_tba FROM p
 """)
 def normalize_meetings(t):
-    raw = t.events.selectExpr(*_select_list(_MEETING_RAW))
+    raw = raw_rows(t, "meeting")
     out = listings.normalize_meetings(raw)
     names = {"monday": "meets_m", "tuesday": "meets_tu", "thursday": "meets_th", "saturday": "meets_sa", "sunday": "meets_su"}
     return out.select("event_id", *[F.col(c).alias(n) for n, c in names.items()],
                       "start_minute", "end_minute", "time_is_tba")
 
 
-def _select_list(cte: str) -> list[str]:
-    """Top-level expressions of `name AS (SELECT ... FROM table)`."""
-    body = cte.split("(SELECT ", 1)[1].rsplit(" FROM ", 1)[0]
-    parts, depth, start, quoted = [], 0, 0, False
-    for i, ch in enumerate(body):
-        if ch == "'":
-            quoted = not quoted
-        if quoted:
-            continue
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(body[start:i])
-            start = i + 1
-    return [*parts, body[start:]]
-
-
-_EXAM_RAW = """raw AS (SELECT o_orderkey, year(o_orderdate) AS year, CASE WHEN o_orderstatus = 'O' THEN '' WHEN o_orderpriority = '1-URGENT' THEN 'TBA'
-  ELSE 'Wed ' || CASE WHEN month(o_orderdate) <= 6 THEN 'Mar' ELSE 'Dec' END || ' ' || CAST(day(o_orderdate) AS STRING) || ' ' || CAST(o_custkey % 12 + 1 AS STRING) || ':30-'
-    || CAST(o_orderkey % 12 + 1 AS STRING) || ':00' || CASE WHEN o_orderpriority = '5-LOW' THEN 'am' ELSE 'pm' END
-    || CASE WHEN o_orderpriority = '2-HIGH' THEN '' ELSE ' @ HALL ' || CAST(o_custkey AS STRING) || ', LAB 2' END END AS exam, 'ROOM ' || CAST(o_custkey AS STRING) AS room FROM orders)"""
-
-
 @query("normalize_exams", f"""
-WITH {_EXAM_RAW}, p AS (SELECT *, exam NOT IN ('', 'TBA') AS sched, exam LIKE '%pm%' AS pm,
+WITH {raw_cte('exam')}, p AS (SELECT *, exam NOT IN ('', 'TBA') AS sched, exam LIKE '%pm%' AS pm,
   TRY_CAST(regexp_extract(exam, '([0-9]+):30-', 1) AS INT) % 12 * 60 + 30 AS s, TRY_CAST(regexp_extract(exam, '-([0-9]+):00', 1) AS INT) % 12 * 60 AS e,
   CASE WHEN exam NOT IN ('', 'TBA') THEN make_date(CAST(year AS INT), CASE WHEN exam LIKE '%Mar%' THEN 3 ELSE 12 END, TRY_CAST(split_part(exam, ' ', 3) AS INT)) END AS d FROM raw)
 SELECT o_orderkey, CASE WHEN exam = '' THEN 'NO_FINAL' WHEN exam = 'TBA' THEN 'TBA_FINAL' ELSE 'SCHEDULED_FINAL' END AS status,
@@ -63,7 +35,7 @@ SELECT o_orderkey, CASE WHEN exam = '' THEN 'NO_FINAL' WHEN exam = 'TBA' THEN 'T
   CASE WHEN NOT sched THEN NULL WHEN exam LIKE '%@%' THEN regexp_extract(exam, '@ (HALL [0-9]+)', 1) || '|LAB 2' ELSE room END AS buildings FROM p
 """)
 def normalize_exams(t):
-    raw = t.orders.selectExpr(*_select_list(_EXAM_RAW))
+    raw = raw_rows(t, "exam")
     out = listings.normalize_exams(raw, first_building="room")
     s = "exam_info.scheduled."
     return out.select(
@@ -72,15 +44,8 @@ def normalize_exams(t):
         F.array_join(s + "buildings", "|").alias("buildings"))
 
 
-_COUNT_RAW = """raw AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_linenumber AS STRING) AS section_code, CAST(20 + l_linenumber AS STRING) AS max_capacity,
-  '7' AS requested, CASE l_returnflag WHEN 'A' THEN 'n/a' WHEN 'N' THEN 'off (' || CAST(l_suppkey AS STRING) || ')' ELSE ' ' || CAST(l_suppkey AS STRING) || ' ' END AS waitlist,
-  CASE WHEN l_linestatus = 'O' THEN '' ELSE CAST(l_linenumber AS STRING) END AS waitlist_cap, CAST(NULL AS STRING) AS reserved,
-  CASE WHEN l_quantity > 45 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS section_enrolled, '' AS total_enrolled,
-  CASE WHEN l_returnflag = 'R' THEN 'NewOnly' END AS status, CASE l_linestatus WHEN 'O' THEN 'A and B or X' ELSE 'ABX or S' END AS restrictions FROM lineitem)"""
-
-
 @query("normalize_counts", f"""
-WITH {_COUNT_RAW}
+WITH {raw_cte('count')}
 SELECT l_orderkey, l_partkey, CAST(section_code AS INTEGER) AS section_code, coalesce(TRY_CAST(regexp_extract(waitlist, '^(off \\()?\\s*([0-9]+)\\s*\\)?$', 2) AS INTEGER), -1) AS waitlist,
   coalesce(TRY_CAST(nullif(waitlist_cap, '') AS INTEGER), -1) AS waitlist_cap, -1 AS reserved, coalesce(TRY_CAST(section_enrolled AS INTEGER), -1) AS section_enrolled,
   coalesce(status, CASE WHEN coalesce(TRY_CAST(section_enrolled AS INTEGER), -1) >= CAST(max_capacity AS INTEGER) THEN 'FULL' ELSE 'OPEN' END) AS status,
@@ -88,25 +53,18 @@ SELECT l_orderkey, l_partkey, CAST(section_code AS INTEGER) AS section_code, coa
 FROM raw
 """)
 def normalize_counts(t):
-    raw = t.lineitem.selectExpr(*_select_list(_COUNT_RAW))
+    raw = raw_rows(t, "count")
     out = listings.restriction_flags(listings.normalize_sections(raw))
     return out.select("l_orderkey", "l_partkey", "section_code", "waitlist", "waitlist_cap", "reserved",
                       "section_enrolled", "status", "r_a", "r_b", "r_x", "r_s")
 
 
-_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
-_BLOCK_RAW = f"""raw AS (SELECT page_id, 'P&D X' AS department, 'P&D X ' || CASE WHEN page_id % 9 = 0 THEN 'H' ELSE '' END || CAST(page_id % 290 AS STRING) || 'B.' AS code,
-  {_H1} || '.  ' AS title, CASE page_id % 4 WHEN 0 THEN '1-4 Units.' WHEN 1 THEN '4 Units.' WHEN 2 THEN '1.3 Unit' ELSE '' END AS units,
-  html AS description, CASE page_id % 5 WHEN 0 THEN '(II, Vb ).' WHEN 1 THEN '(IIIa and VIII)' WHEN 2 THEN 'II' ELSE '' END AS ge_text,
-  'Prerequisites:  ' || {_H1} || '. ' AS prerequisite_text, '' AS corequisites, '' AS concurrent, 'Same as A 1.' AS same_as, '' AS overlap, '' AS restriction, '' AS grading_option,
-  CASE WHEN page_id % 6 = 5 THEN '' ELSE 'Repeatability: ' END || CASE page_id % 6 WHEN 0 THEN 'May be taken for credit 2 times.' WHEN 1 THEN 'May be taken for credit for 12 units.' WHEN 2 THEN 'Unlimited as topics vary.'
-     WHEN 3 THEN 'May be taken 3 times.' WHEN 4 THEN 'Who knows.' ELSE '' END AS repeatability FROM pages)"""
 _SQUEEZE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _NORM = _SQUEEZE.format(x="replace(replace(replace({x}, chr(160), ' '), chr(8239), ' '), chr(8230), '...')")
 
 
 @query("catalogue_extract", f"""
-WITH {_BLOCK_RAW}
+WITH {raw_cte('block')}
 SELECT page_id, CASE WHEN page_id % 6 = 4 THEN 'rejected' ELSE 'course' END AS kind,
   'P&DX' || CASE WHEN page_id % 9 = 0 THEN 'H' ELSE '' END || (page_id % 290) || 'B' AS course_id, CAST(page_id % 290 AS INTEGER) AS course_numeric,
   CASE WHEN page_id % 290 < 100 THEN 'LowerDiv' WHEN page_id % 290 < 200 THEN 'UpperDiv' ELSE 'Graduate' END AS course_level,
@@ -119,7 +77,7 @@ SELECT page_id, CASE WHEN page_id % 6 = 4 THEN 'rejected' ELSE 'course' END AS k
 FROM raw WHERE page_id % 4 <> 3 AND {_NORM.format(x='title')} <> ''
 """)
 def catalogue_extract(t):
-    blocks = t.pages.selectExpr(*_select_list(_BLOCK_RAW))
+    blocks = raw_rows(t, "block")
     courses, rejected = catalogue.extract_catalogue(blocks)
     both = (courses.withColumn("kind", F.lit("course"))
             .unionByName(rejected.withColumn("kind", F.lit("rejected"))))
@@ -130,20 +88,14 @@ def catalogue_extract(t):
         "repeat_times", "repeat_unit")
 
 
-# Requirement texts: a graded single, an OR group, a corequisite and an exclusion.
-_PREREQ_RAW = """raw AS (SELECT p_partkey, 'ANDY ' || CAST(p_partkey AS STRING) || ' ( min grade = C ) AND ( B ' || CAST(p_size AS STRING) || ' OR AP MUSIC OR C D' || CAST(p_size + 1 AS STRING)
-  || ' ( min score = 3 ) OR ??? ) AND NO X ' || CAST(p_size AS STRING) || CASE WHEN p_type = 'PROMO' THEN ' AND NO AP ART score of 3 or greater' ELSE ' AND E 5 ( coreq )' END
-  || CASE WHEN p_size < 10 THEN ' AND ( ??? )' ELSE '' END AS text FROM part)"""
-
-
 @query("prereq_edges", f"""
-WITH {_PREREQ_RAW}
+WITH {raw_cte('prereq')}
 SELECT p_partkey, 'ANDY' || p_partkey AS required_id FROM part
 UNION SELECT p_partkey, 'B' || p_size FROM part UNION SELECT p_partkey, 'AP MUSIC' FROM part
 UNION SELECT p_partkey, 'C D' || (p_size + 1) FROM part UNION SELECT p_partkey, 'E5' FROM part WHERE p_type <> 'PROMO'
 """)
 def prereq_edges(t):
-    raw = t.part.selectExpr(*_select_list(_PREREQ_RAW))
+    raw = raw_rows(t, "prereq")
     _, edges = catalogue.prereq_tables(raw, "p_partkey", "text")
     return edges
 

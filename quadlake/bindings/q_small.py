@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from quadlake.bindings.q_aggs import course_view
-from quadlake.bindings.q_normalize import _select_list
-from quadlake.bindings.q_programs import _PATTERN_RAW, pattern_catalogue
+from quadlake.bindings.q_programs import pattern_catalogue
+from quadlake.bindings.raw_texts import raw_cte, raw_rows
 from quadlake.bindings.registry import ORACLES, query
 from quadlake.bindings.roles import cte, role
 from quadlake.functions import filters as flt
 from quadlake.functions import project as prj
-from quadlake.operators import aggs, diff, paging, temporal
+from quadlake.operators import diff, temporal
 from quadlake.operators import joins as jn
 from quadlake.operators.slices import id_block, paged_lists
 from quadlake.plans import dining, listings, programs, rooms, rules
@@ -161,19 +161,14 @@ def specialization_advice(t):
     return audits.select("p_partkey", rules.needs_specialization("r").alias("required"))
 
 
-_CARD_RAW = """raw AS (SELECT o_orderkey, 'I&C D' || CAST(o_custkey % 9 AS STRING) || ' ' || CAST(o_custkey AS STRING) || 'A' || CASE WHEN o_orderstatus = 'F' THEN ' (same as X 1)' ELSE '' END || ' - LARC (Title)' AS header,
-  CASE WHEN o_orderstatus = 'O' THEN 'Mon/Wed' ELSE 'Tue/Thu' END AS days, CAST(o_orderkey % 11 + 1 AS STRING) || ':00 ' || CASE WHEN o_orderpriority = '5-LOW' THEN 'AM-11:50 AM' ELSE 'PM-11:50 PM' END AS time,
-  CASE WHEN o_orderstatus = 'P' THEN 'Online' ELSE 'HALL' END AS building FROM orders)"""
-
-
 @query("normalize_tutoring", f"""
-WITH {_CARD_RAW}
+WITH {raw_cte('card')}
 SELECT o_orderkey, 'I&C D' || regexp_extract(header, 'D([0-9]+) ', 1) AS department, regexp_extract(header, ' ([0-9]+A)', 1) AS course_number, days = 'Mon/Wed' AS monday, days <> 'Mon/Wed' AS thursday,
   CASE WHEN time LIKE '%PM%' THEN 720 ELSE 0 END + CAST(split_part(time, ':', 1) AS INTEGER) * 60 AS start_minute,
   CASE WHEN time LIKE '%PM%' THEN 1430 ELSE 710 END AS end_minute, CASE building WHEN 'Online' THEN 'ON LINE' ELSE building END AS building FROM raw
 """)
 def normalize_tutoring(t):
-    out = listings.normalize_tutoring(t.orders.selectExpr(*_select_list(_CARD_RAW)))
+    out = listings.normalize_tutoring(raw_rows(t, "card"))
     return out.select("o_orderkey", "department", "course_number", F.col("meets_m").alias("monday"),
                       F.col("meets_th").alias("thursday"), "start_minute", "end_minute", "building")
 
@@ -225,7 +220,7 @@ def first_block(t):
 
 
 _REQ_COURSES = f"""
-{cte('catalogue')}, {_PATTERN_RAW},
+{cte('catalogue')}, {raw_cte('pattern', distinct=True)},
 c AS (SELECT DISTINCT replace(department, ' ', '') AS dept, course_number AS num, course_numeric AS n, CAST(min_units AS INTEGER) AS lo, max(CAST(max_units AS INTEGER)) AS hi FROM catalogue GROUP BY 1, 2, 3, 4),
 p AS (SELECT req, split_part(pattern, ' ', 1) AS dept, split_part(pattern, ' ', 2) AS pat FROM raw),
 e AS (SELECT DISTINCT req, CASE WHEN pat = '@' THEN 'in' WHEN pat LIKE '%@@' THEN 'in4' WHEN pat LIKE '%@' THEN 'out' WHEN pat LIKE '%-%' THEN 'out4' ELSE 'in' END AS role, c.dept || num AS course_id, lo, hi
@@ -239,7 +234,7 @@ HAVING bool_or(role = 'in' OR (role = 'in4' AND hi >= 4)) AND NOT bool_or(role =
 
 @query("requirement_courses", _REQ_COURSES)
 def requirement_courses(t):
-    raw = t.orders.selectExpr(*_select_list(_PATTERN_RAW.replace("DISTINCT ", ""))).distinct()
+    raw = raw_rows(t, "pattern").distinct()
     number = F.substring_index("pattern", " ", -1)
     four = F.array(F.struct(F.lit("").alias("connector"), F.lit("DWCREDITS").alias("code"),
                             F.lit(">=").alias("operator"), F.array(F.lit("4")).alias("values")))
