@@ -1,7 +1,7 @@
 """Writing table versions.
 
 Parquet has no multi-table transaction: every version goes to its own folder and
-a catalog view is then moved to it, dimensions before facts.
+a view of the session is then moved to it, dimensions before facts.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
 
 
 def publish(df: DataFrame, root: str, name: str, version: str) -> str:
-    """Write one version of a table and point the catalog view `name` at it.
+    """Write one version of a table and point the session view `name` at it.
 
     Readers of the view see the old version until the new one is complete, and the
     job may read the very table it replaces. Each run takes a version of its own; a run
