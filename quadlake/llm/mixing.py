@@ -53,7 +53,7 @@ def targets(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
              .withColumn("_left", F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
              .withColumn("_at", F.col("_left") / F.sum("_weight").over(rest))
              .withColumn("_open", F.col("_at") * F.col("_weight") < F.col("_cap"))
-             .withColumn("_level", F.min(F.when(F.col("_open"), F.col("_at"))).over(whole)))
+             .withColumn("_level", F.max(F.when(F.col("_open"), F.col("_at"))).over(whole)))
     return stood.select("_none", "_name", "source_size",
                         F.least("_cap", F.coalesce(F.col("_level") * F.col("_weight"), F.col("_cap")))
                         .alias("target"))
