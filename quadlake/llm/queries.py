@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, lines, mixing, quality
+from quadlake.llm import bpe, jaccard, lines, mixing, quality
 from quadlake.llm.common import table, text_or_empty
 from quadlake.session import tune
 
@@ -150,3 +150,9 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in
                                    ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                        F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
+@query("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.col("_n").alias("n_shingles"), "component_id")
