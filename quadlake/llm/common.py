@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,25 +57,23 @@ def retire(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done: it does so for those the driver has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ---- words ----------------------------------------------------------------------------------
 
-_WORDS: dict[bytes, int] = {}
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                   0xD6E8FEB86659FD93], dtype=np.uint64)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words. The memory of a worker keeps a bounded number of them."""
-    known = _WORDS
-    if len(known) > 600_000:
-        known.clear()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_BASE = 0x5851F42D4C957F2D
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[ord(c) for c in BLANKS]] = False
+_POWERS: list[np.ndarray] = []
+#: Bytes of texts hashed at once.
+_AT_ONCE = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,19 +82,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the `width`-word shingles; the whole sequence if there are fewer words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    take = min(width, len(h))
-    out = np.zeros(len(h) - take + 1, np.uint64)
-    for j in range(take):
-        out += h[j:len(h) - take + 1 + j] * _MULT[j]
-    if take < width:
-        out += np.uint64(take)
-    return np.unique(mix(out))
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, from 0 to n at least."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, _AT_ONCE) + 1
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size + 1, b, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps, dtype=np.uint64))
+        del _POWERS[:-2]
+    return _POWERS
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of `data`, their starts and ends: polynomials over random byte values."""
+    chars = np.frombuffer(data, np.uint8)
+    inside = _IS_WORD[chars]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    power, inverse = _powers(len(chars))
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(_BYTE[chars] * power[:len(chars)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_rows(texts: list[str], lower: bool) -> Iterator[np.ndarray]:
+    """The word hashes of each text, in order; many texts are hashed at once."""
+    group, size = [], 0
+
+    def flush():
+        data = b"\n".join(group)
+        h, starts, _ = word_hashes(data.lower() if lower else data)
+        begins = np.cumsum([0] + [len(x) + 1 for x in group])
+        at = np.searchsorted(starts, begins)
+        for i in range(len(group)):
+            yield h[at[i]:at[i + 1]]
+
+    for t in texts:
+        group.append(t.encode("utf-8", "surrogatepass"))
+        size += len(group[-1])
+        if size >= _AT_ONCE:
+            yield from flush()
+            group, size = [], 0
+    if group:
+        yield from flush()
+
+
+def shingle_sets(texts: list[str], width: int = 5) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's `width`-word shingles; the whole sequence if there are fewer words."""
+    for h in word_rows(texts, lower=True):
+        if not len(h):
+            yield np.empty(0, np.uint64)
+            continue
+        take = min(width, len(h))
+        out = np.zeros(len(h) - take + 1, np.uint64)
+        for j in range(take):
+            out += h[j:len(h) - take + 1 + j] * _MULT[j]
+        if take < width:
+            out += np.uint64(take)
+        yield np.unique(mix(out))
 
 
 # ---- batches --------------------------------------------------------------------------------

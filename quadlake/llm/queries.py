@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, jaccard, lines, mixing, quality
+from quadlake.llm import bpe, jaccard, lines, mixing, quality, recompression, suffixes
 from quadlake.llm.common import table, text_or_empty
 from quadlake.session import tune
 
@@ -156,3 +156,17 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     groups = jaccard.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.col("_n").alias("n_shingles"), "component_id")
+
+
+@query("op6_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.dedup_bytes(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+                       F.col("_n_spans").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_recompression_dedup")
+def recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = recompression.dedup_passages(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+                       F.sha2("text", 256).alias("kept_sha256"))
