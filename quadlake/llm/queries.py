@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, jaccard, lines, mixing, quality, recompression, suffixes
+from quadlake.llm import bpe, jaccard, lines, mixing, quality, recompression, suffixes, vectors
 from quadlake.llm.common import table, text_or_empty
 from quadlake.session import tune
 
@@ -170,3 +170,24 @@ def recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = recompression.dedup_passages(table(spark, folder, "documents").select("doc_id", "text"))
     return left.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
                        F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_embedding_dedup", """
+WITH RECURSIVE ok AS (
+    SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+    WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN n ON e.vec_id = n.a
+""")
+def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
