@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, jaccard, lines, mixing, quality, recompression, suffixes, vectors
+from quadlake.llm import bpe, brown, jaccard, lines, mixing, quality, recompression, suffixes, vectors
 from quadlake.llm.common import table, text_or_empty
 from quadlake.session import tune
 
@@ -191,3 +191,9 @@ FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN n ON e.vec_id = n.a
 def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op1_brown_lm")
+def brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = brown.scored(table(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
