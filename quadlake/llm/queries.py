@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, brown, jaccard, lines, mixing, quality, recompression, suffixes, vectors
+from quadlake.llm import bpe, brown, jaccard, lines, mixing, private, quality, recompression, suffixes, vectors
 from quadlake.llm.common import table, text_or_empty
 from quadlake.session import tune
 
@@ -197,3 +197,10 @@ def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def brown_lm(spark: SparkSession, folder: str) -> DataFrame:
     scored = brown.scored(table(spark, folder, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_pii_tagger")
+def pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
+    found = private.find_private(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(f"_{k}").alias(f"n_{k}") for k in private.KINDS],
+                        F.sha2("_base", 256).alias("base_sha256"), F.col("_spans").alias("spans"))
