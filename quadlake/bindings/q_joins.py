@@ -251,12 +251,12 @@ def calendar_expand(t):
 @query("validity_semi", """
 SELECT event_id FROM events WHERE (day(ts), event_type) IN (
   SELECT day(o_orderdate), CASE o_orderstatus WHEN 'O' THEN 'view' WHEN 'F' THEN 'click' ELSE 'error' END
-  FROM orders WHERE o_totalprice > 499000)
+  FROM orders)
 """)
 def validity_semi(t):
     period = (F.when(F.col("o_orderstatus") == "O", "view").when(F.col("o_orderstatus") == "F", "click")
               .otherwise("error"))
-    valid = t.orders.where("o_totalprice > 499000").select(
+    valid = t.orders.select(
         F.dayofmonth("o_orderdate").alias("day"), period.alias("event_type"))
     facts = t.events.select("event_id", "event_type", F.dayofmonth("ts").alias("day"))
     return jn.keep_valid(facts, valid, ["day", "event_type"]).select("event_id")
@@ -319,7 +319,7 @@ def latest_dim(t):
   CASE WHEN month(l_shipdate) IN (6, 7, 8) THEN 'Summer' WHEN month(l_shipdate) <= 3 THEN 'Winter'
        WHEN month(l_shipdate) <= 5 THEN 'Spring' ELSE 'Fall' END AS term,
   CAST(l_orderkey % 97999 + 1 AS INT) AS section_code FROM lineitem)
-SELECT DISTINCT r.l_orderkey, r.l_linenumber, r.l_partkey, min(section_key) AS section_key
+SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, min(section_key) AS section_key
 FROM r JOIN section s ON s.year = r.year AND s.section_code = r.section_code
   AND (s.term = r.term OR (r.term = 'Summer' AND s.term LIKE 'Summer%'))
 GROUP BY r.l_orderkey, r.l_linenumber, r.l_partkey, r.year, r.term
@@ -334,7 +334,7 @@ def section_key_join(t):
     matched = jn.attach_section_key(
         records, role(t, "section"), ["year", "term", "section_code"], "term", "section_key",
         {"Summer": fixed.SUMMER_SESSIONS})
-    return matched.select("l_orderkey", "l_linenumber", "l_partkey", "section_key").distinct()
+    return matched.select("l_orderkey", "l_linenumber", "l_partkey", "section_key")
 
 
 @query("required_one_to_one", """

@@ -79,14 +79,14 @@ def _later_first(a, b):
 @query("sort_nulls", """
 SELECT o_orderkey, o_orderpriority FROM (
   SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS o_orderpriority, o_orderstatus FROM orders)
-ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END, o_orderpriority ASC NULLS FIRST, o_orderkey LIMIT 500
+ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END, o_orderpriority ASC NULLS FIRST, o_orderkey
 """)
 def sort_nulls(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus",
                            F.nullif("o_orderpriority", F.lit("3-MEDIUM")).alias("o_orderpriority"))
     first = F.when(F.col("o_orderstatus") == "O", 0).otherwise(1)
     ordered = paging.order_nulls(rows, first, F.col("o_orderpriority").asc_nulls_first(), F.col("o_orderkey"))
-    return ordered.limit(500).select("o_orderkey", "o_orderpriority")
+    return ordered.select("o_orderkey", "o_orderpriority")
 
 
 @query("stalest_first", """

@@ -253,18 +253,19 @@ def expand_umbrella(value: str, members: Mapping[str, Sequence[str]] | None = No
     return list(members.get(value, [value]))
 
 
-def lookup(df: DataFrame, key: str, values, broadcast_rows: int = 10_000) -> DataFrame:
-    """Rows whose key is one value, one of a list, or in a one-column DataFrame.
+def lookup(df: DataFrame, key: str, values, in_filter: int = 1_000) -> DataFrame:
+    """Rows whose key is one value, one of a list of any length, or in a one-column DataFrame.
 
-    A driver-side list is a request parameter; beyond `broadcast_rows` it has to
-    come as a DataFrame, which joins without a size hint.
+    A list of at most `in_filter` values goes into the filter, where scans can use it; a longer
+    one becomes a table and is joined.
     """
+    if isinstance(values, (list, tuple, set)) and len(values) > in_filter:
+        kind = df.schema[key].dataType.simpleString()
+        values = df.sparkSession.createDataFrame([(v,) for v in values], f"`{key}` {kind}")
     if isinstance(values, DataFrame):
         wanted = values.select(F.col(values.columns[0]).alias(key)).distinct()
         return df.join(wanted, key, "left_semi")
     if isinstance(values, (list, tuple, set)):
-        if len(values) > broadcast_rows:
-            raise ValueError("pass long key lists as a DataFrame")
         return df.where(_c(key).isin(list(values)))
     return df.where(_c(key) == values)
 

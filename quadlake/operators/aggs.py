@@ -34,17 +34,18 @@ def dist_total(sections: DataFrame, counts: Sequence[str], avg: str,
 
 def dist_by(sections: DataFrame, by: Sequence[str], counts: Sequence[str], avg: str,
             bridge: DataFrame | None = None, key: Sequence[str] = (),
-            compat_fanout: bool = False) -> DataFrame:
+            compat_fanout: bool = False, staffed_only: bool = False) -> DataFrame:
     """Distribution per group.
 
-    With a bridge (section to instructor) sections are kept once each; with
+    With a bridge (section to instructor) every section counts once, also one without an
+    instructor; `staffed_only` keeps those in the bridge, for a bridge that was filtered. With
     `compat_fanout` a section counts once per bridge row, as the older service did.
     """
     base = sections
     if bridge is not None:
         if compat_fanout:
             base = sections.join(bridge, list(key), "left")
-        else:
+        elif staffed_only:
             base = sections.join(bridge.select(*key).distinct(), list(key), "left_semi")
     return base.groupBy(*by).agg(*_sums(counts, avg))
 

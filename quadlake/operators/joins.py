@@ -192,18 +192,22 @@ def attach_section_key(records: DataFrame, section: DataFrame, keys: Sequence[st
                        term: str, section_key: str, umbrella: Mapping[str, Sequence[str]]) -> DataFrame:
     """Find the section of each external record; an umbrella term stands for its sessions.
 
-    Among several sections the smallest key wins; records without one are left out.
+    Among several sections the smallest key wins; records without one are left out, equal
+    records all stay. Sections take the names they can be asked by, so records move once.
     """
-    members = F.create_map(*[x for k, v in umbrella.items()
-                             for x in (F.lit(k), F.array(*[F.lit(m) for m in v]))])
-    sessions = F.coalesce(F.try_element_at(members, F.col(term)), F.array(F.col(term)))
-    wide = records.withColumn("_session", F.explode(sessions))
+    named: dict[str, list[str]] = {}
+    for whole, members in umbrella.items():
+        for member in members:
+            named.setdefault(member, []).append(whole)
+    also = F.lit(None).cast("array<string>")
+    for member, wholes in named.items():
+        also = F.when(F.col(term) == member, F.array(*[F.lit(w) for w in wholes])).otherwise(also)
+    own = F.when(F.col(term).isin(list(umbrella)), F.array().cast("array<string>")).otherwise(F.array(F.col(term)))
+    names = F.array_distinct(F.concat(own, F.coalesce(also, F.array().cast("array<string>"))))
     by_term = [k for k in keys if k != term]
-    firsts = (section.groupBy(*by_term, F.col(term).alias("_session"))
+    firsts = (section.withColumn("_asked", F.explode(names)).groupBy(*by_term, F.col("_asked").alias(term))
               .agg(F.min(section_key).alias(section_key)))
-    matched = wide.join(firsts, [*by_term, "_session"], "inner")
-    rest = [c for c in records.columns]
-    return matched.groupBy(*rest).agg(F.min(section_key).alias(section_key))
+    return records.join(firsts, list(keys), "inner").select(*records.columns, section_key)
 
 
 def attach_offering(cards: DataFrame, offerings: DataFrame, year: str, term: str, course: str,

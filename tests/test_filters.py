@@ -67,8 +67,7 @@ def test_umbrella_and_lookup(spark, rows):
     assert rows(flt.lookup(df, "k", 2)) == [(2,)]
     assert rows(flt.lookup(df, "k", [1, 3])) == [(1,), (3,)]
     assert rows(flt.lookup(df, "k", df.where("k > 1").union(df))) == [(1,), (2,), (3,)]
-    with pytest.raises(ValueError):
-        flt.lookup(df, "k", list(range(10)), broadcast_rows=5)
+    assert rows(flt.lookup(df, "k", list(range(10)), in_filter=5)) == rows(flt.lookup(df, "k", list(range(10))))
 
 
 def test_display_forms(spark, rows):

@@ -225,3 +225,18 @@ def test_stored_index_answers_the_same(spark, index, tmp_path, rows):
     for query in (search.Query(all_of=["data", "struct"]), search.Query(all_of=["d"]), search.Query(phrases=["art of the fugue"])):
         stored = search.read_index(spark, str(tmp_path / "ix"), query, buckets=8)
         assert rows(search.match_terms(stored, "id", query)) == rows(search.match_terms(index, "id", query))
+
+
+def test_sections_without_instructor_count(spark):
+    sections = spark.createDataFrame([(1, "a", 5, 1.0), (2, "a", 7, 2.0)], "s int, d string, x int, g double")
+    bridge = spark.createDataFrame([(1, "p"), (1, "q")], "s int, who string")
+    assert aggs.dist_by(sections, ["d"], ["x"], "g", bridge, ["s"]).first()[1] == 12
+    assert aggs.dist_by(sections, ["d"], ["x"], "g", bridge, ["s"], staffed_only=True).first()[1] == 5
+
+
+def test_equal_records_keep_their_section_each(spark):
+    records = spark.createDataFrame([("2024", "Summer", 1), ("2024", "Summer", 1), ("2024", "Fall", 1)], "year string, term string, code int")
+    section = spark.createDataFrame([("2024", "Summer1", 1, "x"), ("2024", "Summer2", 1, "w"), ("2024", "Fall", 1, "z")],
+                                    "year string, term string, code int, k string")
+    got = joins.attach_section_key(records, section, ["year", "term", "code"], "term", "k", {"Summer": ["Summer1", "Summer2"]})
+    assert sorted(r.k for r in got.collect()) == ["w", "w", "z"]
