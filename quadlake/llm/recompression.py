@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -10,7 +12,10 @@ from quadlake.llm.repeats import by_window, covered, repeated_spans, without_spa
 
 WINDOW = 20
 ROUNDS = 4
+#: Windows go on only if the symbols at their inner boundaries of this round occur more than once.
+CHECK = 2
 FAR = 1 << 40
+MARK = np.uint64(0x5D588B656C078965)
 
 
 def rounds(words: np.ndarray, n_rounds: int = ROUNDS) -> list[tuple[np.ndarray, ...]]:
@@ -45,52 +50,98 @@ def rounds(words: np.ndarray, n_rounds: int = ROUNDS) -> list[tuple[np.ndarray,
     return out
 
 
-def anchors(words: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of the runs of windows with one anchor.
+def _windows(texts: list[bytes]):
+    """Words of all texts, a mark after each text; starts of the texts; starts of windows inside texts."""
+    h, starts, _ = word_hashes(b"\n".join(texts))
+    at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    begins = at + np.arange(len(at))
+    words = np.full(len(h) + len(texts), MARK)
+    words[np.arange(len(h)) + np.repeat(np.arange(len(texts)), np.diff(at))] = h
+    ends = np.repeat(begins[1:] - 1, np.diff(begins))
+    return words, begins, np.flatnonzero(np.arange(len(words)) + WINDOW <= ends)
+
+
+def anchored(words: np.ndarray, windows: np.ndarray, levels: list) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of each window's anchor.
 
     A window's anchor is the first boundary of the highest round that depends on nothing outside
     it: the symbols next to it are those of every equal window. A window without one (all words
     alike) has its first words as anchor.
     """
-    n = len(words) - width + 1
-    if n <= 0:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    windows = np.arange(n)
-    owner = np.full(n, -1, np.int64)
-    key = np.zeros(n, np.uint64)
-    for level, (place, lo, hi, names) in reversed(list(enumerate(rounds(words)))):
-        free = windows[owner < 0]
+    owner = np.full(len(windows), -1, np.int64)
+    key = np.zeros(len(windows), np.uint64)
+    for level, (place, lo, hi, names) in reversed(list(enumerate(levels))):
+        free = np.flatnonzero(owner < 0)
         if not len(free) or not len(place):
             continue
-        at = np.searchsorted(lo, free)
+        at = np.searchsorted(lo, windows[free])
         inside = at < len(place)
-        inside[inside] = hi[at[inside]] <= free[inside] + width
+        inside[inside] = hi[at[inside]] <= windows[free[inside]] + WINDOW
         owner[free[inside]] = place[at[inside]] * (ROUNDS + 1) + level
         key[free[inside]] = names[at[inside]]
     alone = np.flatnonzero(owner < 0)
-    owner[alone] = -2 - alone
-    key[alone] = mix(words[alone] * np.uint64(31) + words[alone + 1] * np.uint64(17) + words[alone + 2])
-    begins = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
-    return key[begins], begins, np.append(begins[1:], n) - 1
-
-
-def runs(text: str):
-    words, _, _ = word_hashes(text.encode("utf-8", "surrogatepass"))
-    keys, starts, ends = anchors(words)
-
-    def content(i: int) -> bytes:
-        """The 128-bit hashes of the run's windows, in order."""
-        a, b = starts[i], ends[i]
-        part = words[a:b + WINDOW]
-        power, inverse = _powers(len(part))
-        out = np.empty((b - a + 1, 2), np.uint64)
-        for j, w in enumerate((part, mix(part))):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power[:len(w)], dtype=np.uint64)])
-            out[:, j] = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:b - a + 1])
-        return out.tobytes()
-
-    return keys, starts, ends, content
+    first = windows[alone]
+    owner[alone] = -2 - first
+    key[alone] = mix(words[first] * np.uint64(31) + words[first + 1] * np.uint64(17) + words[first + 2])
+    return owner, key
+
+
+def _inside(windows: np.ndarray, levels: list) -> tuple[np.ndarray, np.ndarray]:
+    """The boundaries of round CHECK, from and to, that depend on nothing outside each window."""
+    if len(levels) <= CHECK:
+        return np.zeros(len(windows), int), np.zeros(len(windows), int)
+    _, lo, hi, _ = levels[CHECK]
+    a = np.searchsorted(lo, windows)
+    return a, np.maximum(a, np.searchsorted(hi, windows + WINDOW, "right"))
+
+
+def keys(texts: list[bytes]) -> np.ndarray:
+    """The symbols next to all boundaries of round CHECK, and anchors of windows without one."""
+    words, _, windows = _windows(texts)
+    levels = rounds(words)
+    a, b = _inside(windows, levels)
+    bare = windows[a == b]
+    owner, key = anchored(words, bare, levels)
+    new = np.diff(owner, prepend=-1) != 0
+    return np.concatenate([levels[CHECK][3], key[new]]) if len(levels) > CHECK else key[new]
+
+
+def found(texts: list[bytes], shared) -> Iterator[tuple]:
+    """Runs of windows with one anchor whose inner boundaries all have symbols found elsewhere too."""
+    words, begins, windows = _windows(texts)
+    if not len(windows):
+        return
+    levels = rounds(words)
+    a, b = _inside(windows, levels)
+    odd = np.zeros(1, int)
+    if len(levels) > CHECK:
+        odd = np.concatenate([odd, np.cumsum(~shared(levels[CHECK][3]))])
+    some = np.flatnonzero(odd[b] - odd[a] == 0)
+    windows, bare = windows[some], (a == b)[some]
+    owner, key = anchored(words, windows, levels)
+    if bare.any():
+        keep = ~bare
+        keep[bare] = shared(key[bare])
+        windows, owner, key = windows[keep], owner[keep], key[keep]
+    if not len(windows):
+        return
+    names = _window_names(words)
+    new = np.flatnonzero((np.diff(owner, prepend=owner[0] - 1) != 0) | (np.diff(windows, prepend=-2) != 1))
+    text = np.searchsorted(begins, windows[new], "right") - 1
+    for i, j, t in zip(new, np.append(new[1:], len(windows)), text, strict=True):
+        first = int(windows[i])
+        yield int(t), key[i], first - int(begins[t]), names[first:first + j - i].tobytes()
+
+
+def _window_names(words: np.ndarray) -> np.ndarray:
+    """128-bit hashes of all windows."""
+    power, inverse = _powers(len(words))
+    n = len(words) - WINDOW + 1
+    out = np.empty((n, 2), np.uint64)
+    for j, w in enumerate((words, mix(words))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power[:len(w)], dtype=np.uint64)])
+        out[:, j] = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:n])
+    return out
 
 
 def _cut(text: str, spans: list | None) -> tuple[str, int, int]:
@@ -110,5 +161,5 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are empty; null ids come last, as one document; equal rows are the same document and keep
     what one of them keeps. Words are compared by 64-bit, windows by 128-bit hashes.
     """
-    spans = repeated_spans(docs, runs, lambda told: by_window(told, 16, 16), 16, 16, WINDOW, True, doc_id, text)
+    spans = repeated_spans(docs, keys, found, lambda told: by_window(told, 16, 16), 16, 16, WINDOW, True, doc_id, text)
     return without_spans(docs, spans, _cut, "_n_words long, _n_removed long", doc_id, text)

@@ -14,53 +14,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import NO_ID, KeyFilter, Tally, batch, free_shuffles, signed, stored, text_or_empty
+from quadlake.llm.common import NO_ID, KeyFilter, Tally, batch, free_shuffles, retire, signed, stored, text_or_empty
 
 _KEYS = pa.schema([("k", pa.int64()), ("n", pa.int64())])
-_RUNS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("g", pa.int64()), ("a", pa.int32()),
-                   ("content", pa.binary())])
+_RUNS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("g", pa.int64()), ("a", pa.int32()), ("n", pa.int32())])
+_CONTENTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("a", pa.int32()), ("content", pa.binary())])
 _SPANS = pa.schema([("g", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
-#: (keys, run starts, run ends) of a text, and a function giving the content of its run i.
-Runs = Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int], bytes]]]
+#: Texts handled at once, in bytes.
+AT_ONCE = 1 << 20
 
+#: Keys of texts to count; and, with a filter of the keys that occur more than once,
+#: (text's number, key, first window, content) of the runs of windows that may repeat.
+Keys = Callable[[list[bytes]], np.ndarray]
+Found = Callable[[list[bytes], Callable[[np.ndarray], np.ndarray]], Iterator[tuple]]
 
-def _count(runs: Runs):
+
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], int]]:
+    """Texts of a batch, some at once, and the number of the first."""
+    group, size, first = [], 0, 0
+    for i, t in enumerate(b.column("text").to_pylist()):
+        group.append(t.encode("utf-8", "surrogatepass"))
+        size += len(group[-1])
+        if size >= AT_ONCE:
+            yield group, first
+            group, size, first = [], 0, i + 1
+    if group:
+        yield group, first
+
+
+def _count(keys: Keys):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for b in rows:
-            for text in b.column("text").to_pylist():
-                for keys, n in tally.add(runs(text)[0]):
-                    yield batch(_KEYS, k=signed(keys), n=n)
-        for keys, n in tally.flush():
-            yield batch(_KEYS, k=signed(keys), n=n)
+            for texts, _ in _parts(b):
+                for k, n in tally.add(keys(texts)):
+                    yield batch(_KEYS, k=signed(k), n=n)
+        for k, n in tally.flush():
+            yield batch(_KEYS, k=signed(k), n=n)
 
     return run
 
 
-def _meet(runs: Runs, shared):
+def _meet(found: Found, shared, step: int, width: int, wanted=None):
+    """Runs whose key occurs more than once; with `wanted`, those named by it, with their content."""
     import xxhash
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         for b in rows:
-            for text, o, g in zip(*(b.column(n).to_pylist() for n in ("text", "o", "g")), strict=True):
-                keys, starts, _, content = runs(text)
-                if not len(keys):
+            orders, groups = b.column("o").to_numpy(), b.column("g").to_numpy()
+            for texts, first in _parts(b):
+                got = list(found(texts, shared.value.has))
+                if not got:
                     continue
-                signs = signed(keys)
-                for i in np.flatnonzero(shared.value.has(keys)):
-                    data = content(i)
-                    out.append((signs[i], np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64), o, g, starts[i], data))
-                if len(out) > 20_000:
-                    yield batch(_RUNS, **dict(zip(_RUNS.names, zip(*out, strict=True), strict=True)))
-                    out = []
-        if out:
-            yield batch(_RUNS, **dict(zip(_RUNS.names, zip(*out, strict=True), strict=True)))
+                at, keys, starts, contents = zip(*got, strict=True)
+                at = np.array(at) + first
+                c = signed(np.array([xxhash.xxh3_64_intdigest(x) for x in contents], np.uint64))
+                k, a = signed(np.array(keys, np.uint64)), np.array(starts, np.int64)
+                o, g = orders[at], groups[at]
+                if wanted is None:
+                    n = [(len(x) - width) // step + 1 for x in contents]
+                    yield batch(_RUNS, k=k, c=c, o=o, g=g, a=a.astype(np.int32), n=n)
+                    continue
+                hit = np.flatnonzero(wanted.value.has((k ^ c ^ o ^ (a << 40)).view(np.uint64)))
+                if len(hit):
+                    yield batch(_CONTENTS, k=k[hit], c=c[hit], o=o[hit], a=a[hit].astype(np.int32),
+                                content=[contents[i] for i in hit])
 
     return run
 
 
+#: A run's name, as a value to filter by; the same as in `_meet`.
+NAME = "k ^ c ^ o ^ shiftleft(cast(a as bigint), 40)"
+
+
 def by_window(runs: DataFrame, step: int, width: int) -> DataFrame:
     """(k, c, fo, fa): the first place of each window of each run, by grouping single windows."""
     count = F.floor((F.length("content") - width) / step + 1).cast("int")
@@ -69,18 +96,25 @@ def by_window(runs: DataFrame, step: int, width: int) -> DataFrame:
                         F.substring(F.col("content"), F.col("i") * step + 1, F.lit(width)).alias("w"))
     first = single.groupBy("w").agg(F.min("at").alias("first"))
     back = single.join(first, "w").groupBy("k", "c").agg(
-        F.array_sort(F.collect_list(F.struct("i", "first"))).alias("all"))
+        F.array_sort(F.collect_set(F.struct("i", "first"))).alias("all"))
     return back.select("k", "c", F.expr("transform(all, x -> x.first.o)").alias("fo"),
                        F.expr("transform(all, x -> x.first.a)").alias("fa"))
 
 
 def _spans(width: int, same: bool):
-    """Removed spans of runs: windows whose first place is before their own."""
+    """Removed spans of runs: windows whose first place is before their own. A run of n windows
+    without places of its own (fo is null) starts first, all of it, where `first` and `at` say."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             g_out, s_out, e_out = [], [], []
-            for o, g, a, fo, fa in zip(*(b.column(n).to_pylist() for n in ("o", "g", "a", "fo", "fa")), strict=True):
+            for o, g, a, n, first, at, fo, fa in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+                if fo is None:
+                    if first < o or (same and first == o and at < a):
+                        g_out.append(g)
+                        s_out.append(a)
+                        e_out.append(a + n - 1 + width)
+                    continue
                 fo = np.array(fo)
                 gone = fo < o
                 if same:
@@ -100,8 +134,8 @@ def place(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
 
 
-def repeated_spans(docs: DataFrame, runs: Runs, solve: Callable[[DataFrame], DataFrame], step: int, width: int,
-                   units: int, same: bool, doc_id: str, text: str) -> DataFrame:
+def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[DataFrame], DataFrame], step: int,
+                   width: int, units: int, same: bool, doc_id: str, text: str) -> DataFrame:
     """(g, spans): by row key, spans (s, e) covered by windows that also start earlier.
 
     step, width: of windows in a run's content; units: a window's length in the text's units;
@@ -110,28 +144,34 @@ def repeated_spans(docs: DataFrame, runs: Runs, solve: Callable[[DataFrame], Dat
     """
     spark = docs.sparkSession
     own = docs.select(text_or_empty(text).alias("text"), place(doc_id).alias("o"), row_key(doc_id, text).alias("g"))
-    shared = stored(own.select("text").mapInArrow(_count(runs), "k long, n long").groupBy("k")
+    shared = stored(own.select("text").mapInArrow(_count(keys), "k long, n long").groupBy("k")
                     .agg(F.sum("n").alias("n")).where("n > 1").select("k"), "keys")
     free_shuffles(spark)
     known = spark.sparkContext.broadcast(KeyFilter.of(shared, "k"))
-    met = stored(own.mapInArrow(_meet(runs, known), "k long, c long, o long, g long, a int, content binary")
-                 .join(shared, "k", "left_semi"), "runs")
-    known.destroy()
-    told = stored(met.groupBy("k", "c").agg(F.min(F.struct("o", "a")).alias("at"), F.first("content").alias("content"))
-                  .select("k", "c", "at.o", "at.a", "content"), "told")
+    # The filter lets a few others pass; they meet nothing and change nothing.
+    met = stored(own.mapInArrow(_meet(found, known, step, width), "k long, c long, o long, g long, a int, n int"), "runs")
+    retire(shared)
+    told = stored(met.groupBy("k", "c").agg(F.min(F.struct("o", "a")).alias("at")).select("k", "c", "at.o", "at.a"), "told")
     free_shuffles(spark)
     several = told.groupBy("k").count().where("count > 1").select("k")
-    alone = told.join(several, "k", "left_anti")
-    # A run without another of its key: all its windows start first where the run does.
-    simple = (met.drop("content").join(alone.select("k", "c", F.col("o").alias("fo"), F.col("a").alias("fa"),
-                                                    F.floor((F.length("content") - width) / step + 1).cast("int").alias("n")), ["k", "c"])
-              .where((F.col("fo") < F.col("o")) | ((F.col("fo") == F.col("o")) & (F.col("fa") < F.col("a")) & F.lit(same)))
-              .select("g", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + units).cast("int").alias("e")))
-    solved = stored(solve(told.join(several, "k", "left_semi")), "solved")
+    some = stored(told.join(several, "k", "left_semi"), "several")
+    wanted = spark.sparkContext.broadcast(KeyFilter.of(some.select(F.expr(NAME).alias("name")), "name"))
+    # Only runs that differ from another of their key, told once each, are read again with their content.
+    content = stored(own.mapInArrow(_meet(found, known, step, width, wanted), "k long, c long, o long, a int, content binary"), "contents")
+    known.destroy()
+    wanted.destroy()
+    solved = stored(solve(content), "solved")
+    retire(content)
+    retire(some)
+    free_shuffles(spark)
+    first = told.select("k", "c", F.col("o").alias("first"), F.col("a").alias("at")).join(solved, ["k", "c"], "left")
+    spans = stored(met.join(first, ["k", "c"]).where("fo is not null or first < o or (first = o and at < a)")
+                   .select("o", "g", "a", "n", "first", "at", "fo", "fa")
+                   .mapInArrow(_spans(units, same), "g long, s int, e int"), "spans")
+    for done in (met, told, solved):
+        retire(done)
     free_shuffles(spark)
-    found = (met.drop("content").join(solved, ["k", "c"]).select("o", "g", "a", "fo", "fa")
-             .mapInArrow(_spans(units, same), "g long, s int, e int"))
-    return simple.unionByName(found).distinct().groupBy("g").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    return spans.distinct().groupBy("g").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
 
 
 def row_key(doc_id: str, text: str) -> Column:
