@@ -17,6 +17,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
 
 
+def short_batches(spark: SparkSession) -> SparkSession:
+    """Texts go to Python a thousand rows at a time: both sides hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -100,10 +106,15 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = _IS_WORD[chars]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(len(chars))
-    sums = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(_BYTE[chars] * power[:len(chars)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return range_hashes(_BYTE[chars], starts, ends), starts, ends
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges [start, end) of 64-bit values: differences of one running polynomial."""
+    power, inverse = _powers(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_rows(texts: list[str], lower: bool) -> Iterator[np.ndarray]:
@@ -156,7 +167,7 @@ def signed(h: np.ndarray) -> np.ndarray:
 class Tally:
     """Sums counts of 64-bit keys inside a task before they are shuffled, in bounded memory."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.parts, self.size, self.limit = [], 0, limit
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

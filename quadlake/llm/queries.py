@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import bpe, brown, jaccard, lines, mixing, private, quality, recompression, suffixes, vectors
-from quadlake.llm.common import table, text_or_empty
+from quadlake.llm.common import short_batches, table, text_or_empty
 from quadlake.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _run(fn, spark: SparkSession, folder: str) -> DataFrame:
-    return fn(tune(spark), folder)
+    return fn(short_batches(tune(spark)), folder)
 
 
 @query("op2_byte_bpe")

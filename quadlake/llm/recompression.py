@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quadlake.llm.common import _powers, mix, word_hashes
-from quadlake.llm.repeats import by_window, covered, repeated_spans, without_spans
+from quadlake.llm.common import _powers, mix, range_hashes, word_hashes
+from quadlake.llm.repeats import Runs, by_window, covered, repeated_spans, without_spans
 
 WINDOW = 20
 ROUNDS = 4
@@ -106,11 +104,11 @@ def keys(texts: list[bytes]) -> np.ndarray:
     return np.concatenate([levels[CHECK][3], key[new]]) if len(levels) > CHECK else key[new]
 
 
-def found(texts: list[bytes], shared) -> Iterator[tuple]:
+def found(texts: list[bytes], shared) -> Runs | None:
     """Runs of windows with one anchor whose inner boundaries all have symbols found elsewhere too."""
     words, begins, windows = _windows(texts)
     if not len(windows):
-        return
+        return None
     levels = rounds(words)
     a, b = _inside(windows, levels)
     odd = np.zeros(1, int)
@@ -124,13 +122,13 @@ def found(texts: list[bytes], shared) -> Iterator[tuple]:
         keep[bare] = shared(key[bare])
         windows, owner, key = windows[keep], owner[keep], key[keep]
     if not len(windows):
-        return
+        return None
     names = _window_names(words)
     new = np.flatnonzero((np.diff(owner, prepend=owner[0] - 1) != 0) | (np.diff(windows, prepend=-2) != 1))
-    text = np.searchsorted(begins, windows[new], "right") - 1
-    for i, j, t in zip(new, np.append(new[1:], len(windows)), text, strict=True):
-        first = int(windows[i])
-        yield int(t), key[i], first - int(begins[t]), names[first:first + j - i].tobytes()
+    first, count = windows[new], np.diff(np.append(new, len(windows)))
+    text = np.searchsorted(begins, first, "right") - 1
+    return Runs(text, key[new], first - begins[text], count, range_hashes(words, first, first + count + WINDOW - 1),
+                lambda i: names[first[i]:first[i] + count[i]].tobytes())
 
 
 def _window_names(words: np.ndarray) -> np.ndarray:
@@ -144,7 +142,7 @@ def _window_names(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(text: str, spans: list | None) -> tuple[str, int, int]:
+def _cut(text: str, spans: np.ndarray | None) -> tuple[str, int, int]:
     words = text.encode("utf-8", "surrogatepass").split()
     if spans is None:
         return b" ".join(words).decode("utf-8", "surrogatepass"), len(words), 0
@@ -161,5 +159,5 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are empty; null ids come last, as one document; equal rows are the same document and keep
     what one of them keeps. Words are compared by 64-bit, windows by 128-bit hashes.
     """
-    spans = repeated_spans(docs, keys, found, lambda told: by_window(told, 16, 16), 16, 16, WINDOW, True, doc_id, text)
+    spans = repeated_spans(docs, keys, found, lambda told: by_window(told, 16, 16), WINDOW, True, doc_id, text)
     return without_spans(docs, spans, _cut, "_n_words long, _n_removed long", doc_id, text)

@@ -8,9 +8,11 @@ runs whose key occurs more than once go on. Equal runs are told once, with their
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,27 @@ from quadlake.llm.common import NO_ID, KeyFilter, Tally, batch, free_shuffles, r
 _KEYS = pa.schema([("k", pa.int64()), ("n", pa.int64())])
 _RUNS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("g", pa.int64()), ("a", pa.int32()), ("n", pa.int32())])
 _CONTENTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("a", pa.int32()), ("content", pa.binary())])
-_SPANS = pa.schema([("g", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+_CUTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
 #: Texts handled at once, in bytes.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
-#: Keys of texts to count; and, with a filter of the keys that occur more than once,
-#: (text's number, key, first window, content) of the runs of windows that may repeat.
+
+class Runs(NamedTuple):
+    """Runs of windows: number of the text, key, first window, number of windows, hash of the content."""
+
+    text: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    hash: np.ndarray
+    content: Callable[[int], bytes]
+
+
+#: Keys of texts to count; and, with a filter of the keys that occur more than once, the runs of
+#: windows that may repeat.
 Keys = Callable[[list[bytes]], np.ndarray]
-Found = Callable[[list[bytes], Callable[[np.ndarray], np.ndarray]], Iterator[tuple]]
+Found = Callable[[list[bytes], Callable[[np.ndarray], np.ndarray]], Runs | None]
 
 
 def _parts(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], int]]:
@@ -56,30 +70,26 @@ def _count(keys: Keys):
     return run
 
 
-def _meet(found: Found, shared, step: int, width: int, wanted=None):
+def _meet(found: Found, shared, wanted=None):
     """Runs whose key occurs more than once; with `wanted`, those named by it, with their content."""
-    import xxhash
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             orders, groups = b.column("o").to_numpy(), b.column("g").to_numpy()
-            for texts, first in _parts(b):
-                got = list(found(texts, shared.value.has))
-                if not got:
+            for texts, begin in _parts(b):
+                got = found(texts, shared.value.has)
+                if got is None:
                     continue
-                at, keys, starts, contents = zip(*got, strict=True)
-                at = np.array(at) + first
-                c = signed(np.array([xxhash.xxh3_64_intdigest(x) for x in contents], np.uint64))
-                k, a = signed(np.array(keys, np.uint64)), np.array(starts, np.int64)
+                at = got.text + begin
+                k, c, a = signed(got.key), signed(got.hash), got.first
                 o, g = orders[at], groups[at]
                 if wanted is None:
-                    n = [(len(x) - width) // step + 1 for x in contents]
-                    yield batch(_RUNS, k=k, c=c, o=o, g=g, a=a.astype(np.int32), n=n)
+                    yield batch(_RUNS, k=k, c=c, o=o, g=g, a=a.astype(np.int32), n=got.count.astype(np.int32))
                     continue
                 hit = np.flatnonzero(wanted.value.has((k ^ c ^ o ^ (a << 40)).view(np.uint64)))
                 if len(hit):
                     yield batch(_CONTENTS, k=k[hit], c=c[hit], o=o[hit], a=a[hit].astype(np.int32),
-                                content=[contents[i] for i in hit])
+                                content=[got.content(i) for i in hit.tolist()])
 
     return run
 
@@ -89,42 +99,37 @@ NAME = "k ^ c ^ o ^ shiftleft(cast(a as bigint), 40)"
 
 
 def by_window(runs: DataFrame, step: int, width: int) -> DataFrame:
-    """(k, c, fo, fa): the first place of each window of each run, by grouping single windows."""
+    """(k, c, o, a, fo, fa): the first place of each window of each run, by grouping single windows."""
     count = F.floor((F.length("content") - width) / step + 1).cast("int")
     cut = runs.select("k", "c", "o", "a", "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    single = cut.select("k", "c", "i", F.struct("o", (F.col("a") + F.col("i")).alias("a")).alias("at"),
+    single = cut.select("k", "c", "o", "a", "i", F.struct("o", (F.col("a") + F.col("i")).alias("a")).alias("at"),
                         F.substring(F.col("content"), F.col("i") * step + 1, F.lit(width)).alias("w"))
     first = single.groupBy("w").agg(F.min("at").alias("first"))
-    back = single.join(first, "w").groupBy("k", "c").agg(
+    back = single.join(first, "w").groupBy("k", "c", "o", "a").agg(
         F.array_sort(F.collect_set(F.struct("i", "first"))).alias("all"))
-    return back.select("k", "c", F.expr("transform(all, x -> x.first.o)").alias("fo"),
+    return back.select("k", "c", "o", "a", F.expr("transform(all, x -> x.first.o)").alias("fo"),
                        F.expr("transform(all, x -> x.first.a)").alias("fa"))
 
 
-def _spans(width: int, same: bool):
-    """Removed spans of runs: windows whose first place is before their own. A run of n windows
-    without places of its own (fo is null) starts first, all of it, where `first` and `at` say."""
+def _cuts(width: int, same: bool):
+    """(k, c, i, j): parts of runs, told at their first place, whose windows start earlier in other runs."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            g_out, s_out, e_out = [], [], []
-            for o, g, a, n, first, at, fo, fa in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
-                if fo is None:
-                    if first < o or (same and first == o and at < a):
-                        g_out.append(g)
-                        s_out.append(a)
-                        e_out.append(a + n - 1 + width)
-                    continue
-                fo = np.array(fo)
-                gone = fo < o
-                if same:
-                    gone |= (fo == o) & (np.array(fa) < a + np.arange(len(fo)))
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                for s, e in zip(edge[::2], edge[1::2], strict=True):
-                    g_out.append(g)
-                    s_out.append(a + s)
-                    e_out.append(a + e - 1 + width)
-            yield batch(_SPANS, g=g_out, s=s_out, e=e_out)
+            k, c, o, a = (b.column(x).to_numpy() for x in ("k", "c", "o", "a"))
+            size = pc.list_value_length(b.column("fo")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(o)), size)
+            if not len(row):
+                continue
+            i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            fo = pc.list_flatten(b.column("fo")).to_numpy()
+            gone = fo < o[row]
+            if same:
+                gone |= (fo == o[row]) & (pc.list_flatten(b.column("fa")).to_numpy() < a[row] + i)
+            follows = gone[1:] & gone[:-1] & (row[1:] == row[:-1])
+            s = np.flatnonzero(gone & ~np.append(False, follows))
+            e = np.flatnonzero(gone & ~np.append(follows, False))
+            yield batch(_CUTS, k=k[row[s]], c=c[row[s]], i=i[s].astype(np.int32), j=(i[e] + width).astype(np.int32))
 
     return run
 
@@ -134,13 +139,14 @@ def place(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
 
 
-def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[DataFrame], DataFrame], step: int,
-                   width: int, units: int, same: bool, doc_id: str, text: str) -> DataFrame:
-    """(g, spans): by row key, spans (s, e) covered by windows that also start earlier.
+def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[DataFrame], DataFrame],
+                   units: int, same: bool, doc_id: str, text: str) -> DataFrame:
+    """(g, _spans): by row key, spans covered by windows that also start earlier, each as start << 32 | end.
 
-    step, width: of windows in a run's content; units: a window's length in the text's units;
-    same: whether an earlier start in the same document counts. solve gives (k, c, fo, fa), the
-    first place of each window, for runs that share their key with a different run.
+    units: a window's length in the text's units;
+    same: whether an earlier start in the same document counts. solve gives (k, c, o, a, fo, fa), the
+    first place of each window, for runs that share their key with a different run. A run whose
+    content starts earlier goes as a whole; only the first of equal runs needs the places.
     """
     spark = docs.sparkSession
     own = docs.select(text_or_empty(text).alias("text"), place(doc_id).alias("o"), row_key(doc_id, text).alias("g"))
@@ -149,7 +155,7 @@ def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[D
     free_shuffles(spark)
     known = spark.sparkContext.broadcast(KeyFilter.of(shared, "k"))
     # The filter lets a few others pass; they meet nothing and change nothing.
-    met = stored(own.mapInArrow(_meet(found, known, step, width), "k long, c long, o long, g long, a int, n int"), "runs")
+    met = stored(own.mapInArrow(_meet(found, known), "k long, c long, o long, g long, a int, n int"), "runs")
     retire(shared)
     told = stored(met.groupBy("k", "c").agg(F.min(F.struct("o", "a")).alias("at")).select("k", "c", "at.o", "at.a"), "told")
     free_shuffles(spark)
@@ -157,21 +163,26 @@ def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[D
     some = stored(told.join(several, "k", "left_semi"), "several")
     wanted = spark.sparkContext.broadcast(KeyFilter.of(some.select(F.expr(NAME).alias("name")), "name"))
     # Only runs that differ from another of their key, told once each, are read again with their content.
-    content = stored(own.mapInArrow(_meet(found, known, step, width, wanted), "k long, c long, o long, a int, content binary"), "contents")
+    content = stored(own.mapInArrow(_meet(found, known, wanted), "k long, c long, o long, a int, content binary"), "contents")
     known.destroy()
     wanted.destroy()
-    solved = stored(solve(content), "solved")
+    cuts = stored(solve(content).mapInArrow(_cuts(units, same), "k long, c long, i int, j int").distinct()
+                  .groupBy("k", "c").agg(F.collect_list(F.struct("i", "j")).alias("cuts")), "cuts")
     retire(content)
     retire(some)
     free_shuffles(spark)
-    first = told.select("k", "c", F.col("o").alias("first"), F.col("a").alias("at")).join(solved, ["k", "c"], "left")
-    spans = stored(met.join(first, ["k", "c"]).where("fo is not null or first < o or (first = o and at < a)")
-                   .select("o", "g", "a", "n", "first", "at", "fo", "fa")
-                   .mapInArrow(_spans(units, same), "g long, s int, e int"), "spans")
-    for done in (met, told, solved):
+    first = told.select("k", "c", F.col("o").alias("first"), F.col("a").alias("at")).join(cuts, ["k", "c"], "left")
+    earlier = F.col("first") < F.col("o")
+    if same:
+        earlier |= (F.col("first") == F.col("o")) & (F.col("at") < F.col("a"))
+    whole = F.array(F.struct(F.lit(0).alias("i"), (F.col("n") - 1 + units).cast("int").alias("j")))
+    spans = stored(met.join(first, ["k", "c"]).where(earlier | F.col("cuts").isNotNull())
+                   .select("g", "a", F.explode(F.when(earlier, whole).otherwise(F.col("cuts"))).alias("x"))
+                   .select("g", F.expr("shiftleft(cast(a + x.i as bigint), 32) | (a + x.j)").alias("s")), "spans")
+    for done in (met, told, cuts):
         retire(done)
     free_shuffles(spark)
-    return spans.distinct().groupBy("g").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    return spans.groupBy("g").agg(F.collect_set("s").alias("_spans"))
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -179,7 +190,7 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[str, list | None], tuple], extra: str,
+def without_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[str, np.ndarray | None], tuple], extra: str,
                   doc_id: str, text: str) -> DataFrame:
     """`docs` with the text that `cut` leaves, and the columns it counts."""
     names = docs.columns
@@ -188,8 +199,11 @@ def without_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[str, list |
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            done = [cut(t or "", [(x["s"], x["e"]) for x in v] if v else None)
-                    for t, v in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            spans = b.column("_spans")
+            size = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            flat, ends = pc.list_flatten(spans).to_numpy(), np.cumsum(size)
+            done = [cut(t or "", flat[e - n:e] if n else None)
+                    for t, n, e in zip(b.column(text).to_pylist(), size.tolist(), ends.tolist(), strict=True)]
             columns = [pa.array([x[0] for x in done], pa.binary() if pa.types.is_binary(b.column(n).type) else pa.string())
                        if n == text else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
@@ -200,10 +214,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[str, list |
     return keyed.select(*[F.col(f"`{n}`") for n in names], "_spans").mapInArrow(run, schema)
 
 
-def covered(spans: list | None, n: int) -> np.ndarray:
-    """Which of n units the spans cover, and how many maximal runs that makes, as a mask."""
-    edges = np.zeros(n + 1, np.int64)
-    for s, e in spans or []:
-        edges[s] += 1
-        edges[e] -= 1
-    return np.cumsum(edges[:-1]) > 0
+def covered(spans: np.ndarray, n: int) -> np.ndarray:
+    """Which of n units the spans (start << 32 | end) cover, as a mask."""
+    edges = np.bincount(spans >> 32, minlength=n + 1) - np.bincount(spans & 0xFFFFFFFF, minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0
