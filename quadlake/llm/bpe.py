@@ -8,6 +8,7 @@ import heapq
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -22,17 +23,26 @@ CACHE = 300_000
 
 
 class Vocabulary(dict):
-    """Piece (a str) to its ids; filled as pieces come, emptied when it is full."""
+    """Piece (a str) to its ids, filled as pieces come.
+
+    When it is full it starts anew and takes over from the full one what is asked for again, so
+    frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, lines: list[bytes]):
         super().__init__()
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.digits_of = {i: str(i) for i in self.bytes_of}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = merge(piece.encode("utf-8", "replace"), self.ranks)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merge(piece.encode("utf-8", "replace"), self.ranks)
         self[piece] = ids
         return ids
 
@@ -101,6 +111,20 @@ def encode_pieces(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
     return out
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter((i for one in ids for i in one), np.int32, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _plain(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column, made from its flat values (far faster than list by list)."""
+    ends = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield flat[a:b].tolist()
+
+
 def decode(ids, vocabulary: Vocabulary) -> bytes:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids))
 
@@ -116,7 +140,7 @@ def _short(spec, names: list[str]):
         for b in rows:
             for part in _slices(b):
                 ids = [encode_pieces(pattern.findall(t), vocabulary) for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(ids, pa.list_(pa.int32()))],
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], _lists(ids)],
                                                  names=[*names, "ids"])
 
     return run
@@ -174,7 +198,7 @@ def _encode_ranges(spec, size: int):
                     pieces.append(m.group())
                     at = m.end()
                 out.append(encode_pieces(pieces, vocabulary))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_t1", "_t2", "k")], pa.array(out, pa.list_(pa.int32()))],
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_t1", "_t2", "k")], _lists(out)],
                                              names=["_t1", "_t2", "k", "ids"])
 
     return run
@@ -233,11 +257,12 @@ def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = _tools(spec)
+        digits = vocabulary.digits_of.__getitem__
         for b in rows:
             counts, of_ids, of_text = [], [], []
-            for ids in b.column("ids").to_pylist():
+            for ids in _plain(b.column("ids")):
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(decode(ids, vocabulary)).hexdigest())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(counts, pa.int64()),
                                               pa.array(of_ids), pa.array(of_text)],
