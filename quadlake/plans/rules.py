@@ -161,34 +161,54 @@ def _resolved(level: Column, lower: Column | None) -> Column:
         F.when(n["kind"].isNotNull(), requirement_id(n["kind"], salt(n))).otherwise(passed(n)).alias("requirement_id")))
 
 
-def requirement_nodes(audits: DataFrame, key: str, rules: str, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(requirements, keys of audits with rules nested deeper than `max_depth`).
+def _lists_within(rules: str) -> Column:
+    """How many lists lie within each other at most: no rule of the document is deeper.
+
+    Texts are left out first, then lists without lists in them, except those of rules.
+    """
+    json = F.replace(F.to_json(rules), F.lit('"ruleArray":['), F.lit("\x01"))
+    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), "[^\x01\\[\\]]", "")
+    # Lists of courses and advice end at once; every list that holds rules stays.
+    opened = F.split(F.regexp_replace(marks, r"\[\]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark == "]", -1).when(mark == "", 0).otherwise(1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(opened, zero, step, lambda acc: acc["most"])
+
+
+def requirement_nodes(audits: DataFrame, key: str, rules: str) -> DataFrame:
+    """Requirements of the audits, rules of any depth included.
 
     Columns: key, path, parent_path, kind, label, needed, courses, requirement_id.
     Blocks and non-course rules vanish, conditions become "select one" groups or their
     only rule, a condition around a block vanishes whole. Ids hash the contents from
     the leaves upwards. A tree never leaves its row: levels are arrays built from the
     root down and resolved from the leaves up, so the job has no shuffle. A level is a
-    step in the requirement tree; `owner` is the rule that holds a rule there.
+    step in the requirement tree; `owner` is the rule that holds a rule there. How many
+    levels there are is asked of the documents first: one number.
     """
+    depth = audits.agg(F.max(_lists_within(rules))).first()[0] or 1
     first = F.transform(_placed(_rules(F.col(rules), "$"), F.lit("")), lambda k: F.struct(
         k["path"].alias("path"), F.lit("").alias("owner"), F.array().cast("array<string>").alias("owners"),
         k["v"].alias("v")))
     df = audits.select(key, first.alias("_l0"))
-    for i in range(max_depth):
-        df = df.withColumn(f"_l{i + 1}", _children(F.col(f"_l{i}"), max_depth))
-    deeper = df.where(F.size(f"_l{max_depth}") > 0).select(key)
-    df = df.withColumn(f"_r{max_depth - 1}", _resolved(F.col(f"_l{max_depth - 1}"), None))
-    for i in reversed(range(max_depth - 1)):
+    for i in range(depth - 1):
+        # A condition on this level holds as many conditions in a row as there are levels left.
+        df = df.withColumn(f"_l{i + 1}", _children(F.col(f"_l{i}"), depth - i - 2))
+    df = df.withColumn(f"_r{depth - 1}", _resolved(F.col(f"_l{depth - 1}"), None))
+    for i in reversed(range(depth - 1)):
         df = df.withColumn(f"_r{i}", _resolved(F.col(f"_l{i}"), F.col(f"_r{i + 1}")))
-    nodes = df.select(key, F.concat(*[F.col(f"_r{i}") for i in range(max_depth)]).alias("_nodes"))
+    nodes = df.select(key, F.concat(*[F.col(f"_r{i}") for i in range(depth)]).alias("_nodes"))
     dropped = F.transform(F.filter("_nodes", lambda n: (n["rule_type"] == "IfStmt") & n["blocked"]), lambda n: n["path"])
     kept = (nodes.withColumn("_dropped", dropped)
             .select(key, F.explode(F.filter("_nodes", lambda n: n["kind"].isNotNull())).alias("n"), "_dropped")
             .where(~F.arrays_overlap("n.owners", "_dropped")))
     return kept.select(
         key, "n.path", F.col("n.owner").alias("parent_path"), "n.kind", "n.label", "n.needed", "n.courses",
-        "n.requirement_id"), deeper
+        "n.requirement_id")
 
 
 def needs_specialization(rules: str) -> Column:

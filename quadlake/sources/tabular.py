@@ -15,8 +15,9 @@ GRADE_COLUMNS = (
     "CalYr", "AcadTerm", "CourseCode", "GradeACount", "GradeBCount", "GradeCCount", "GradeDCount",
     "GradeFCount", "GradePCount", "GradeNPCount", "GradeWCount",
 )
-MATERIAL_COLUMNS = ("Term", "Dept/Course", "Title", "Format")
-MATERIAL_FORMATS = {"Go to Class First": "OER"}
+MATERIAL_COLUMNS = ("Term", "Dept/Course", "Course Code", "Title", "Author", "Edition", "ISBN", "Format", "Req/Rec",
+                    "MMS ID", "Link")
+MATERIAL_REQUIREMENTS = {"Go to Class First": "GoToClassFirst"}
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -53,14 +54,19 @@ def split_last_space(col: str, head: str, tail: str) -> dict[str, Column]:
     return {head: F.trim(F.left(text, F.length(text) - F.length(last))), tail: last}
 
 
-def import_materials(raw: DataFrame, term: str, course: str, code: str, form: str,
-                     forms: Mapping[str, str]) -> DataFrame:
-    """Split the term and course columns, rename formats, leave out rows without a code."""
-    renamed = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+def import_materials(raw: DataFrame, term: str, course: str, code: str, form: str, requirement: str,
+                     requirements: Mapping[str, str] = MATERIAL_REQUIREMENTS) -> DataFrame:
+    """Split the term and course columns, rename requirements, leave out rows without a code.
+
+    Empty formats and requirements are unknown (null); other columns stay as they are.
+    """
+    renamed = F.create_map(*[F.lit(x) for pair in requirements.items() for x in pair])
+    wanted = F.nullif(F.col(requirement), F.lit(""))
     return (raw.where(F.col(code).isNotNull() & (F.trim(F.col(code).cast("string")) != ""))
             .withColumns({
                 "quarter": F.split_part(F.trim(term), F.lit(" "), F.lit(1)),
                 "year": F.split_part(F.trim(term), F.lit(" "), F.lit(2)),
                 **split_last_space(course, "department", "course_number"),
-                "format": F.coalesce(F.try_element_at(renamed, F.col(form)), F.col(form)),
+                "format": F.nullif(F.col(form), F.lit("")),
+                "requirement": F.coalesce(F.try_element_at(renamed, wanted), wanted),
             }))

@@ -238,13 +238,31 @@ def test_specialization_advice(spark):
     assert need("ElsePart", *rules.NOT_REQUIRED_ADVICE) is False
 
 
-def test_rules_too_deep_are_reported(spark, rows):
-    doc = '[{"ruleType":"Group","label":"A","ruleArray":[{"ruleType":"Group","label":"B","ruleArray":[{"ruleType":"Complete","label":"C"}]}]}]'
-    audits = spark.createDataFrame([(1, doc)], "k int, d string").select("k", F.parse_json("d").alias("rules"))
-    nodes, deeper = rules.requirement_nodes(audits, "k", "rules", max_depth=3)
-    assert [r.path for r in nodes.orderBy("path").collect()] == ["0000", "0000.0000", "0000.0000.0000"] and deeper.count() == 0
-    _, deeper = rules.requirement_nodes(audits, "k", "rules", max_depth=2)
-    assert rows(deeper) == [(1,)]
+def _nested(depth: int, leaf: str) -> str:
+    doc = leaf
+    for i in range(depth - 1):
+        doc = f'{{"ruleType":"Group","label":"L [ \\"{i}","requirement":{{"numberOfGroups":"1"}},"ruleArray":[{doc}]}}'
+    return f"[{doc}]"
+
+
+def test_rules_of_any_depth(spark):
+    def course(number):
+        return ('{"ruleType":"Course","label":"C","requirement":{"classesBegin":"1","courseArray":'
+                f'[{{"discipline":"X","number":"{number}"}}]}}}}')
+
+    docs = [(d * 10 + n, _nested(d, course(n))) for d in (1, 2, 5, 8) for n in (1, 2)]
+    condition = course(3)
+    for _ in range(3):
+        condition = f'{{"ruleType":"IfStmt","requirement":{{"ifPart":{{"ruleArray":[{condition}]}}}}}}'
+    audits = spark.createDataFrame([*docs, (99, f"[{condition}]"), (100, "[]"), (101, None)], "k int, d string").select(
+        "k", F.parse_json("d").alias("rules"))
+    got = {}
+    for r in rules.requirement_nodes(audits, "k", "rules").collect():
+        got.setdefault(r.k, []).append((r.path, r.kind, r.requirement_id))
+    assert {k: len(v) for k, v in got.items()} == {**{d * 10 + n: d for d in (1, 2, 5, 8) for n in (1, 2)}, 99: 1}
+    roots = [min(v)[2] for k, v in got.items() if k < 99]
+    assert len(set(roots)) == len(roots) == 8
+    assert rules.requirement_nodes(audits.where("k < 0"), "k", "rules").count() == 0
 
 
 def test_first_matching_block(spark):

@@ -27,7 +27,9 @@ def test_xml_single_and_repeated_nodes(spark):
     doc = ('<listing><school><name>S</name><department><code>D</code><course><number>1</number>'
            '<section><code>100</code><waitlist>100</waitlist><instructor>A</instructor></section></course>'
            '<course><number>2</number><section><code>200</code></section><section><code>201</code><waitlist>3</waitlist></section></course></department></school></listing>')
-    tables = feeds.parse_xml_listing(spark.createDataFrame([(1, doc)], "k int, d string"), "d", ["k"])
+    tables = feeds.parse_xml_listing(spark.createDataFrame(
+        [(1, doc), (2, doc[:-20]), (3, "no listing"), (4, None)], "k int, d string"), "d", ["k"])
+    assert {r.k: r.d for r in tables.pop("rejected").collect()} == {2: doc[:-20], 3: "no listing", 4: None}
     assert {n: df.count() for n, df in tables.items()} == {"school": 1, "department": 1, "course": 2, "section": 3}
     got = {r.section_code: (r.waitlist, r.instructors, r.kind) for r in tables["section"].collect()}
     assert got == {"100": ("", ["A"], ""), "200": ("", [], ""), "201": ("3", [], "")}
