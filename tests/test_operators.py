@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadlake.operators import aggs, diff, joins, paging, search, slices, upsert
+from quadlake.plans import views
 
 
 @pytest.fixture(scope="module")
@@ -240,3 +241,15 @@ def test_equal_records_keep_their_section_each(spark):
                                     "year string, term string, code int, k string")
     got = joins.attach_section_key(records, section, ["year", "term", "code"], "term", "k", {"Summer": ["Summer1", "Summer2"]})
     assert sorted(r.k for r in got.collect()) == ["w", "w", "z"]
+
+
+def test_views_over_text_keys(spark):
+    courses = spark.createDataFrame([("X1", "One"), ("X2", "Two")], "course_key string, title string")
+    people = spark.createDataFrame([("ab", "A"), ("cd", "C")], "person_key string, name string")
+    taught = spark.createDataFrame([("X1", "ab", "2024"), ("X1", "cd", "2024"), ("X1", "cd", "2025")],
+                                   "course_key string, person_key string, term string")
+    got = {r.course_key: r for r in views.course_view(courses, people, taught, F.lit(True)).collect()}
+    assert [p.person_key for p in got["X1"].instructors] == ["ab", "cd"] and got["X1"].terms == ["2024", "2025"]
+    assert got["X2"].instructors == [] and got["X2"].terms == []
+    mine = {r.person_key: r for r in views.person_view(courses, people, taught, F.lit(True)).collect()}
+    assert [(c.course_key, c.terms) for c in mine["cd"].courses] == [("X1", ["2024", "2025"])]
