@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import text_or_empty
+from quadlake.llm.common import stored, text_or_empty
 
 #: Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -19,7 +21,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: The tagger is fitted on at most this many labelled documents, the first by hash.
+#: The tagger is fitted on at most this many labelled pieces of texts: as many of each kind, and as many clean ones.
 SAMPLE_DOCS = 400
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN, TAGS = 8, 12, 1 + 2 * len(KINDS)
@@ -233,9 +235,21 @@ class Tagger:
         return tags, np.take_along_axis(chance, tags[:, :, None], 2)[:, :, 0]
 
 
-def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from texts and their spans; and again with spans written as patterns don't
-    expect them: phones without the plus, cards with points between groups, + and all else alike."""
+def _respelled(kind: int, part: str, turn: int) -> str:
+    """A span written as its pattern doesn't expect it."""
+    if kind == 0:
+        return part.replace("@", ("[@]", "(@)")[turn % 2]) if turn % 3 else part.replace(".", "[.]")
+    if kind == 1:
+        return part.replace(".", ("[.]", ",", " . ")[turn % 3])
+    if kind == 2:
+        digits = re.sub("[^0-9]", "", part)
+        return "._"[turn % 2].join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return part[1:] if turn % 2 else re.sub("[^0-9]+", "/", part[1:])
+
+
+def labelled(texts: list[str], known: list[list[tuple[int, int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags from texts and their spans; and again with spans of all kinds written as patterns
+    don't expect them (see `_respelled`): + and all else alike."""
     sym, tags = [], []
 
     def add(text: str, spans: list[tuple[int, int, int]]):
@@ -248,28 +262,36 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             sym.append(_window(all_sym, start))
             tags.append(_window(tag, start))
 
-    for text in texts:
-        spans = base_spans(text)
+    turns = [0] * len(KINDS)
+    for text, spans in zip(texts, map(base_spans, texts) if known is None else known, strict=True):
         add(text, spans)
         out, changed, last = "", [], 0
         for s, kind, e in spans:
             if s < last:
                 continue
-            part = text[s:e]
-            if kind == 3:
-                part = part[1:]
-            elif kind == 2:
-                digits = re.sub("[^0-9]", "", part)
-                part = ".".join(digits[i:i + 4] for i in range(0, len(digits), 4))
+            part = _respelled(kind, text[s:e], turns[kind])
+            turns[kind] += 1
             out += text[last:s]
             changed.append((len(out), kind, len(out) + len(part)))
             out += part
             last = e
-        if any(k in (2, 3) for _, k, _ in spans):
+        if changed:
             add(out + text[last:], changed)
     return np.array(sym, np.int64).reshape(-1, WINDOW), np.array(tags, np.int64).reshape(-1, WINDOW)
 
 
+def pieces(text: str) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(kind, piece of the text around a span, spans in it); of a text without spans, one around a digit
+    or an @, of kind len(KINDS)."""
+    spans = base_spans(text)
+    for s, kind, e in spans:
+        a, b = max(s - WINDOW, 0), min(e + WINDOW, s + 4 * WINDOW, len(text))
+        a = max([a, *(x[2] for x in spans if x[0] < a < x[2] <= s)])
+        yield kind, text[a:b], [(x[0] - a, x[1], min(x[2], b) - a) for x in spans if a <= x[0] < b]
+    if not spans and (m := _SEED.search(text)):
+        yield len(KINDS), text[max(m.start() - WINDOW, 0):m.end() + WINDOW], []
+
+
 def _plausible(kind: int, part: str) -> bool:
     """What a span of a kind holds at least, however it is written."""
     digits = sum(c.isdigit() and c.isascii() for c in part)
@@ -328,11 +350,40 @@ def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[int, in
 
 # ---- the operator ---------------------------------------------------------------------------
 
+def sampled(docs: DataFrame, text: str, each: int) -> DataFrame:
+    """(kind, h, piece, spans): of each kind the `each` first distinct pieces by hash, over all documents.
+
+    Each task keeps no more than those of its own; texts of any length are looked through whole.
+    """
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = [{} for _ in range(len(KINDS) + 1)]
+
+        def shrink(own: dict) -> dict:
+            return dict(sorted(own.items())[:each])
+
+        for b in rows:
+            for t in b.column("t").to_pylist():
+                for kind, piece, spans in pieces(t):
+                    h = hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    kept[kind][int.from_bytes(h, "big", signed=True)] = (piece, [x for s in spans for x in s])
+                    if len(kept[kind]) > 8 * each:
+                        kept[kind] = shrink(kept[kind])
+        found = [(k, h, *x) for k, own in enumerate(kept) for h, x in shrink(own).items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32())))],
+            names=["kind", "h", "piece", "spans"])
+
+    found = stored(docs.select(text_or_empty(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+                   .mapInArrow(run, "kind int, h long, piece string, spans array<int>"), "pieces")
+    parts = [found.where(F.col("kind") == k).dropDuplicates(["h"]).orderBy("h").limit(each) for k in range(len(KINDS) + 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_tagger(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Tagger | None:
-    """A tagger fitted on the `sample` first documents, by hash, of those with an @ or a digit."""
-    some = (docs.select(text_or_empty(text).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") < 20_000))
-            .distinct().orderBy(F.xxhash64("t"), "t").limit(sample))
-    sym, tags = labelled([r.t for r in some.collect()])
+    """A tagger fitted on at most `sample` pieces of texts: the first by hash around spans of each kind,
+    and of texts with an @ or a digit but no span. None if no text holds a span."""
+    some = sorted(sampled(docs, text, max(sample // (len(KINDS) + 1), 1)).collect(), key=lambda r: (r.kind, r.h))
+    sym, tags = labelled([r.piece for r in some], [list(zip(*[iter(r.spans)] * 3, strict=True)) for r in some])
     if not (tags > 0).any():
         return None
     tagger = Tagger()
@@ -350,7 +401,7 @@ def find_private(docs: DataFrame, text: str = "text", tagger: Tagger | None = No
 
     The patterns' spans always stay; the tagger adds what they miss. Null texts are empty. Rows
     are independent: no shuffle, and equal rows get equal results. Without labelled spans to fit
-    on there is no tagger and the base spans are all.
+    on in any text there is no tagger and the base spans are all.
     """
     model = docs.sparkSession.sparkContext.broadcast(tagger or fit_tagger(docs, text))
     names = [c for c in docs.columns if c != text]

@@ -1,11 +1,13 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from quadlake.llm import private
 from quadlake.llm.queries import QUERIES
-from tests.llm.cases import documents, saved
+from tests.llm.cases import documents, frame, saved
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -86,3 +88,34 @@ def test_held_out_spans_are_found():
     hidden = "Some words before it 1 (451) 555-2133 and after it more words of the text."
     found = private.added_spans(tagger, [hidden, "clean words only"], [[], []])
     assert [hidden[s:e] for s, _, e in found[0]] in ([], ["1 (451) 555-2133"]) and found[1] == []
+
+
+def test_hidden_spans_are_added_where_few_texts_hold_spans(spark):
+    """Personal data only in long texts, among many texts with numbers: the tagger learns from it all the same."""
+    rng = random.Random(4)
+
+    def words(k):
+        return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(k))
+
+    def phone():
+        return f"1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+
+    def name():
+        return f"{words(1)}{rng.randint(1, 99)}", f"{words(1)}.example.com"
+
+    def private_text(i):
+        ip = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return ("@".join(name()), "+" + phone(), ip, "4111 1111 1111 1111")[i % 4]
+
+    clean = [(i, f"{words(9)} {1900 + i % 99} {words(5)} {i * 37}.{i % 7} {words(4)}", "en", "s", 0) for i in range(600)]
+    long = [(1000 + i, f"{words(5000)} {private_text(i)} {words(20)}", "en", "s", 0) for i in range(240)]
+    df = frame(spark, clean + long)
+    assert {r.kind for r in private.sampled(df, "text", 5).collect()} == {0, 1, 2, 3, 4}
+    hidden = [(i, f"{words(20)} {phone() if i % 2 else '[@]'.join(name())} {words(20)}", "en", "s", 0) for i in range(60)]
+    tagger = private.fit_tagger(df)
+    got = private.find_private(frame(spark, hidden).select("doc_id", "text"), tagger=tagger).collect()
+    assert not any(r._base for r in got)
+    added = Counter(r._spans.split(":")[0] for r in got)
+    assert added["phone"] > 10 and added["email"] > 10, added
+    found = private.added_spans(tagger, [r[1] for r in clean], [[] for _ in clean])
+    assert sum(map(bool, found)) < 6
