@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import bpe, brown, jaccard, lines, mixing, private, quality, recompression, suffixes, vectors
+from quadlake.llm import (bpe, brown, dialogues, jaccard, lines, mixing, private, quality, recompression, suffixes,
+                          vectors)
 from quadlake.llm.common import short_batches, table, text_or_empty
 from quadlake.session import tune
 
@@ -204,3 +205,22 @@ def pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
     found = private.find_private(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[F.col(f"_{k}").alias(f"n_{k}") for k in private.KINDS],
                         F.sha2("_base", 256).alias("base_sha256"), F.col("_spans").alias("spans"))
+
+
+@query("op11_dialogue_repair")
+def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    blank = F.lit(" ")
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    damaged = (rows.withColumn("kind", kind).where("kind <> 0")
+               .withColumns({"text": F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate(text, ".!?", ""))
+                             .otherwise(text), "role": F.when(F.col("kind") == 4, F.lit("user")).otherwise(role)}))
+    found = dialogues.repair(damaged, copies=F.when(F.col("kind") == 3, 2).otherwise(1)).verdicts
+    all_ids = rows.select(F.col("conv_id").alias("_id")).distinct()
+    out = all_ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("_id").alias("conv_id"),
+                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
