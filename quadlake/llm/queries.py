@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import (bpe, brown, dialogues, jaccard, lines, mixing, private, quality, recompression, suffixes,
+from quadlake.llm import (bpe, brown, dialogues, jaccard, lines, mixing, packing, private, quality, recompression, suffixes,
                           vectors)
 from quadlake.llm.common import short_batches, table, text_or_empty
 from quadlake.session import tune
@@ -207,7 +207,76 @@ def pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("_base", 256).alias("base_sha256"), F.col("_spans").alias("spans"))
 
 
-@query("op11_dialogue_repair")
+_DIALOGUE_SQL = """
+WITH RECURSIVE src AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), crc AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(k) + 1),
+        lambda i: [ascii(k[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS f
+    FROM src
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM crc
+), placed AS (
+    SELECT *, left(role, 1) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos
+    FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS joint, count(*) OVER (PARTITION BY conv_id) AS n
+    FROM placed
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS pos, {c: 0, a: '', o: []::VARCHAR[]} AS q0, {c: 99999999, a: '', o: []::VARCHAR[]} AS qs,
+           {c: 99999999, a: '', o: []::VARCHAR[]} AS qu, {c: 99999999, a: '', o: []::VARCHAR[]} AS qa
+    FROM (SELECT DISTINCT conv_id FROM judged)
+    UNION ALL
+    SELECT conv_id, pos,
+        {c: q0.c + 3, a: q0.a || 'D', o: q0.o},
+        list_sort([{c: qs.c + 3, a: qs.a || 'D', o: qs.o},
+                   {c: q0.c + t + CASE WHEN i = 's' THEN 0 ELSE 99999999 END, a: q0.a || 'K', o: list_append(q0.o, own)}])[1],
+        list_sort([{c: eu.c + 3, a: eu.a || 'D', o: eu.o},
+                   {c: pre.c + t + CASE WHEN i = 'u' THEN 0 ELSE 99999999 END, a: pre.a || 'K', o: list_append(pre.o, own)},
+                   {c: pre.c + t + 2, a: pre.a || 'R', o: list_append(pre.o, 'user:' || text)}])[1],
+        list_sort([{c: ea.c + 3, a: ea.a || 'D', o: ea.o},
+                   {c: eu.c + t + CASE WHEN i = 'a' THEN 0 ELSE 99999999 END, a: eu.a || 'K', o: list_append(eu.o, own)},
+                   {c: eu.c + t + 2, a: eu.a || 'R', o: list_append(eu.o, 'assistant:' || text)}])[1]
+    FROM (
+        SELECT *, list_sort([q0, qs, ea])[1] AS pre FROM (
+            SELECT w.conv_id, j.pos, j.i, j.text, j.role || ':' || j.text AS own, q0, qs,
+                   CASE j.fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 99999999 END AS t,
+                   list_sort([qu, {c: q0.c + 2, a: q0.a || 'I', o: list_append(q0.o, 'user:')},
+                              {c: qs.c + 2, a: qs.a || 'I', o: list_append(qs.o, 'user:')},
+                              {c: qa.c + 2, a: qa.a || 'I', o: list_append(qa.o, 'user:')}])[1] AS eu,
+                   list_sort([qa, {c: qu.c + 2, a: qu.a || 'I', o: list_append(qu.o, 'assistant:')}])[1] AS ea
+            FROM walk w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = w.pos + 1))
+), ended AS (
+    SELECT conv_id, list_sort([q0, qa, {c: qu.c + 2, a: qu.a || 'I', o: list_append(qu.o, 'assistant:')},
+        {c: qs.c + 4, a: qs.a || 'II', o: list_concat(qs.o, ['user:', 'assistant:'])}])[1] AS best
+    FROM walk w WHERE pos = (SELECT max(n) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM w.conv_id)
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (joint NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+)
+SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) s
+LEFT JOIN facts f ON s.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN ended e ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op11_dialogue_repair", _DIALOGUE_SQL)
 def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     blank = F.lit(" ")
@@ -224,3 +293,10 @@ def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
                       *[F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                       F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op12_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, carry=["doc_id"])
+    return packing.pack(pieces)
