@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import uuid
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from quadlake.llm.common import retire, stored, text_or_empty
 
@@ -27,7 +29,7 @@ DONE = 0.97
 #: Turns over all underfull sequences of a group.
 PASSES = 8
 #: Chunks of text whose ids a worker remembers; when there are more it starts anew with those asked for again.
-CACHE = 250_000
+CACHE = 600_000
 
 _PIECES = {"piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint"}
 _SEPARATOR = "\x01"
@@ -39,7 +41,7 @@ _MARKS = frozenset(".,;:!?")
 # ---- tokens ---------------------------------------------------------------------------------
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit numbers in bytes.
+    """Ids of texts, as little-endian 32-bit numbers in bytes, by a tokenizer of words split on white space.
 
     Neither pieces of the pattern nor the normal form reach across white space, so the ids of a text are
     those of its chunks between white space, remembered by chunk. Unknown chunks are encoded many at once.
@@ -54,6 +56,14 @@ class Encoder:
         found = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.separator = found[0] if len(found) == 1 else None
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Words in normal form, of letters alone, are pieces as they are.
+        self.words = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None}))
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,19 +93,27 @@ class Encoder:
         ask = missing.difference(marked)
         for c in marked:
             ask.update((c[:-1], c[-1]))
-        new = list(ask.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            joined = f" {_SEPARATOR} ".join([*some, ""])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw, begin = np.flatnonzero(ids == self.separator).tolist(), ids.tobytes(), 0
-            for c, end in zip(some, ends, strict=True):
-                self.known[c] = raw[4 * begin:4 * end]
-                begin = end + 1
+        new = ask.difference(self.known)
+        words = [c for c in new if c.isalpha()] if self.ends.any() else []
+        self._ask(self.words, words, " ", self.ends)
+        self._ask(self.tokenizer, list(new.difference(words)), f" {_SEPARATOR} ", None)
         for c in marked:
             self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
 
 
+    def _ask(self, tokenizer: Tokenizer, chunks: list[str], joint: str, ends: np.ndarray | None) -> None:
+        """Remember the ids of chunks: they end where a word does, or before the separator."""
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at:at + 20_000]
+            ids = np.array(tokenizer.encode_batch_fast([joint.join([*some, ""])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ids == self.separator if ends is None else ends[ids])
+            begins = np.concatenate([[0], stops[:-1] + 1])
+            stops = stops if ends is None else stops + 1
+            raw = ids.tobytes()
+            for c, a, b in zip(some, (4 * begins).tolist(), (4 * stops).tolist(), strict=True):
+                self.known[c] = raw[a:b]
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
