@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm import (bpe, brown, dialogues, jaccard, lines, mixing, packing, private, quality, recompression, suffixes,
-                          vectors)
+from quadlake.llm import (bpe, brown, dialogues, jaccard, lines, mixing, negatives, packing, private, quality, recompression,
+                          suffixes, vectors)
 from quadlake.llm.common import short_batches, table, text_or_empty
 from quadlake.session import tune
 
@@ -300,3 +300,31 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pieces = packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, carry=["doc_id"])
     return packing.pack(pieces)
+
+
+@query("op13_hard_negatives", """
+WITH fit AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q, row_number() OVER () AS r
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike,
+           list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM fit a JOIN fit b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+), positive AS (
+    SELECT r, anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY p.r, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored s ON p.r = s.r AND NOT s.alike
+    AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
