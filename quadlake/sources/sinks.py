@@ -12,6 +12,33 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")).rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    where, system = _file_system(spark, posixpath.join(path, "_SUCCESS"))
+    return system.exists(where)
+
+
+def fingerprint(table: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of a table's files: another one once any of them changes."""
+    out = []
+    for path in sorted(table.inputFiles()):
+        where, system = _file_system(table.sparkSession, path)
+        status = system.getFileStatus(where)
+        out.append((path, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def replace_all(new: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Full replacement of a table's files (all partitions, whatever the session says)."""
     writer = new.write.mode("overwrite").option("partitionOverwriteMode", "static")

@@ -221,11 +221,62 @@ def test_search_ranks_titles_first_and_counts_all(index):
     assert [r.id for r in page.collect()] == [1] and count.first()[0] == 2
 
 
-def test_stored_index_answers_the_same(spark, index, tmp_path, rows):
-    search.write_index(index, str(tmp_path / "ix"), "id", buckets=8, spread=2)
-    for query in (search.Query(all_of=["data", "struct"]), search.Query(all_of=["d"]), search.Query(phrases=["art of the fugue"])):
-        stored = search.read_index(spark, str(tmp_path / "ix"), query, buckets=8)
-        assert rows(search.match_terms(stored, "id", query)) == rows(search.match_terms(index, "id", query))
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Many small documents in parts and buckets, and the same index as a plain table."""
+    rnd = random.Random(11)
+    vocabulary = ["data", "heap", "heaps", "structural", "fugue", "art", "the", "of", "bach", "study", "studies", "deal", "q"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 9))),
+                                   " ".join(rnd.choices(vocabulary, [1] * 12 + [.01], k=rnd.randint(0, 40)))) for i in range(700)],
+                                 "id long, title string, body string")
+    fields = {"C": ["title"], "D": ["body"]}
+    path = str(tmp_path_factory.mktemp("index"))
+    search.write_index(docs, path, "id", fields, parts=40, buckets=8, spread=2)
+    return search.Index(spark, path, "id", buckets=8), search.build_index(docs, "id", fields).cache()
+
+
+QUERIES = (search.Query(all_of=["data", "struct"]), search.Query(all_of=["d"]), search.Query(phrases=["art of the fugue"]),
+           search.Query(any_of=["q", "fugue"], none_of=["bach"]), search.Query(none_of=["study"]), search.Query(all_of=["the"]),
+           search.Query(all_of=["heaps", "q"], prefix_last=False), search.Query(all_of=["data"], phrases=["heap data", "study art"]))
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_stored_index_answers_the_same(stored, rows, query):
+    index, plain = stored
+    assert rows(search.match_terms(index, "id", query)) == rows(search.match_terms(plain, "id", query))
+
+
+@pytest.mark.parametrize("query", QUERIES)
+@pytest.mark.parametrize("skip,take", [(0, 5), (3, 20), (0, 2000)])
+def test_skipping_parts_leaves_the_page_as_it_is(stored, query, skip, take):
+    index, plain = stored
+    page, _ = search.search(plain, "id", query, skip, take)
+    assert [tuple(r) for r in search.top(index, query, skip, take, first=2).collect()] == [tuple(r) for r in page.collect()]
+
+
+def test_bounds_hold_and_leave_parts_out(stored):
+    index, plain = stored
+    query = search.Query(all_of=["q"], prefix_last=False)
+    bounds = {r.part: r.bound for r in search.part_bounds(index, query).collect()}
+    of = search.match_terms(plain, "id", query).withColumn("part", F.expr("cast(pmod(xxhash64(id), 40) AS int)")).collect()
+    assert {r.part for r in of} == set(bounds)
+    assert all(r["rank"] <= bounds[r.part] for r in of)
+    ranks = sorted((r["rank"] for r in of), reverse=True)
+    assert sum(b >= ranks[2] for b in bounds.values()) < len(bounds)
+
+
+def test_a_query_reads_its_buckets_once(stored):
+    index, _ = stored
+    page, count = search.search(index, "id", search.Query(all_of=["fugue"], prefix_last=False), take=3)
+    both = page.withColumn("total", count.scalar())
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan, plan[:3000]
+    scan = index.blocks(search.Query(all_of=["fugue"], prefix_last=False))
+    names = [r.name for r in scan.select(F.input_file_name().alias("name")).distinct().collect()]
+    assert names and len({n.rsplit("bucket=", 1)[1].split("/")[0] for n in names}) == 1
 
 
 def test_sections_without_instructor_count(spark):
