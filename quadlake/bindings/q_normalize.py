@@ -63,8 +63,16 @@ _SQUEEZE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _NORM = _SQUEEZE.format(x="replace(replace(replace({x}, chr(160), ' '), chr(8239), ' '), chr(8230), '...')")
 
 
+def _shown(column):
+    """The text of a piece of a page in SQL: without tags, entities decoded."""
+    out = f"regexp_replace({column}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
 @query("catalogue_extract", f"""
-WITH {raw_cte('block')}
+WITH {raw_cte('block')}, shown AS (SELECT * REPLACE ({_shown('title')} AS title, {_shown('description')} AS description, {_shown('prerequisite_text')} AS prerequisite_text) FROM raw)
 SELECT page_id, CASE WHEN page_id % 6 = 4 THEN 'rejected' ELSE 'course' END AS kind,
   'P&DX' || CASE WHEN page_id % 9 = 0 THEN 'H' ELSE '' END || (page_id % 290) || 'B' AS course_id, CAST(page_id % 290 AS INTEGER) AS course_numeric,
   CASE WHEN page_id % 290 < 100 THEN 'LowerDiv' WHEN page_id % 290 < 200 THEN 'UpperDiv' ELSE 'Graduate' END AS course_level,
@@ -74,10 +82,22 @@ SELECT page_id, CASE WHEN page_id % 6 = 4 THEN 'rejected' ELSE 'course' END AS k
   page_id % 5 = 0 AS ge_2, page_id % 5 = 0 AS ge_5b, page_id % 5 = 1 AS ge_8, CASE page_id % 5 WHEN 0 THEN '(II, Vb ).' WHEN 1 THEN '(IIIa and VIII)' ELSE '' END AS ge_text,
   CASE page_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 12 WHEN 3 THEN 3 WHEN 5 THEN 0 END AS repeat_times,
   CASE page_id % 6 WHEN 0 THEN 'times' WHEN 1 THEN 'credit_hours' WHEN 3 THEN 'times' WHEN 5 THEN 'times' END AS repeat_unit
-FROM raw WHERE page_id % 4 <> 3 AND {_NORM.format(x='title')} <> ''
+FROM shown WHERE page_id % 4 <> 3 AND {_NORM.format(x='title')} <> ''
 """)
 def catalogue_extract(t):
-    blocks = raw_rows(t, "block")
+    def part(tag, css, column):
+        return F.concat(F.lit(f'<{tag} class="text {css}">'), column, F.lit(f"</{tag}>"))
+
+    # A catalogue page around the supplied texts: a block without a title, and the course's block.
+    raw = raw_rows(t, "block")
+    parts = [part("span", "detail-code", F.concat(F.lit("<strong>"), F.replace("code", F.lit("&"), F.lit("&amp;")), F.lit("</strong>"))),
+             *[part(tag, css, F.col(c)) for tag, css, c in (
+                 ("span", "detail-title", "title"), ("span", "detail-hours_html", "units"), ("div", "courseblockextra noindent", "description"),
+                 ("p", "detail-prereqs", "prerequisite_text"), ("p", "detail-same_as", "same_as"), ("p", "detail-repeatability", "repeatability"),
+                 ("p", "detail-gened", "ge_text"))]]
+    html = F.concat(F.lit('<main><h1>Courses</h1><div class="courseblock"><span class="detail-code">P&amp;D X 1.</span><div class="courseblockextra">'
+                          'none</div></div><div class="block courseblock">'), *parts, F.lit("</div><footer class='detail-title'>no</footer></main>"))
+    blocks = catalogue.course_blocks(raw.select("page_id", "department", html.alias("html")), "page_id", "html")
     courses, rejected = catalogue.extract_catalogue(blocks)
     both = (courses.withColumn("kind", F.lit("course"))
             .unionByName(rejected.withColumn("kind", F.lit("rejected"))))

@@ -57,7 +57,7 @@ RAW: dict[str, tuple[str, list[str]]] = {
         "regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '.  ' AS title",
         "CASE page_id % 4 WHEN 0 THEN '1-4 Units.' WHEN 1 THEN '4 Units.' WHEN 2 THEN '1.3 Unit'"
         " ELSE '' END AS units",
-        "html AS description",
+        "regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS description",
         "CASE page_id % 5 WHEN 0 THEN '(II, Vb ).' WHEN 1 THEN '(IIIa and VIII)' WHEN 2 THEN 'II'"
         " ELSE '' END AS ge_text",
         "'Prerequisites:  ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '. ' AS prerequisite_text",

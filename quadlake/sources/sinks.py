@@ -7,6 +7,7 @@ a view of the session is then moved to it, dimensions before facts.
 from __future__ import annotations
 
 import posixpath
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the work folder and read back, for results that several steps read."""
+    path = posixpath.join(work_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
     where, system = _file_system(spark, posixpath.join(path, "_SUCCESS"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import parsing
 from quadlake.operators import temporal
+from quadlake.sources import markup, sinks
 from quadlake.plans import calendar, catalogue, dining, grids, listings, occupancy, people, programs, rooms, rules
 
 
@@ -85,11 +86,11 @@ def test_catalogue_from_html(spark):
             '<span class="text detail-title">Programming in C/C++.</span><span class="detail-hours_html">4 Units.</span>'
             '<div class="courseblockextra"><p>An introduction.</p></div><p class="detail-prereqs">Prerequisite: I&amp;C SCI 33.</p>'
             '<p class="detail-gened">(II and Vb ).</p></div>')
-    fields = {"code": "detail-code", "title": "detail-title", "units": "detail-hours_html", "description": "courseblockextra",
-              "ge_text": "detail-gened", "prerequisite_text": "detail-prereqs"}
-    empty = {f: F.lit("") for f in ("corequisites", "concurrent", "same_as", "overlap", "restriction", "grading_option", "repeatability")}
-    pages = spark.createDataFrame([("I&C SCI", html)], "department string, html string")
-    courses, rejected = catalogue.extract_catalogue(catalogue.course_blocks(pages, "html", fields).withColumns(empty))
+    pages = spark.createDataFrame([("I&C SCI", html + html.replace("45C", "46").replace("<p>An", "<div>Deep</div><p>An"))], "department string, html string")
+    courses, rejected = catalogue.extract_catalogue(catalogue.course_blocks(pages, "department", "html"))
+    assert [(r.course_id, r.description) for r in courses.orderBy("course_id").collect()] == [
+        ("I&CSCI45C", "An introduction."), ("I&CSCI46", "DeepAn introduction.")]
+    courses = courses.orderBy("course_id")
     r = courses.first()
     assert (r.course_id, r.course_number, r.course_numeric, r.course_level, r.title) == (
         "I&CSCI45C", "45C", 45, "LowerDiv", "Programming in C/C++")
@@ -165,6 +166,57 @@ def test_room_page(spark):
     assert r.description == "Nice, room, With light."
 
 
+ROOM = """<h1 id="s-lc-public-header-title"> Room 5\n (Tech Enhanced)\n ({where})\n Capacity: 12 </h1>
+<div class="s-lc-section-directions"><h2>Way</h2><p> Go left</p><p> and up </p></div><div class="x s-lc-section-description">{text}</div>"""
+
+
+def test_room_pages(spark):
+    plain = "Bright <b>no</b> room<br><br>with <p>a desk,<em>two</em></p><ul><li>A <b>screen</b><li> Chairs .</ul><div>left out</div><span>end</span>"
+    listed = "<div><p>Rules:</p><p>No food\nNo drink</p></div><p>Ask the desk .</p><p> </p>"
+    pages = spark.createDataFrame([(1, "u", ROOM.format(where="Main", text=plain)), (2, "v", ROOM.format(where=rooms.BY_PARAGRAPH, text=listed)),
+                                   (3, "w", "<p>nothing</p>"), (4, "x", '<h1 id="s-lc-public-header-title">Odd</h1>')], "k int, url string, html string")
+    got = {r.k: r for r in rooms.room_pages(pages.drop("html"), markup.elements(pages, "k", "html", True), "k").collect()}
+    assert set(got) == {1, 2, 4}
+    assert (got[1].name, got[1].tech_enhanced, got[1].location, got[1].capacity, got[1].directions) == ("Room 5", True, "Main", 12, "Go left and up.")
+    assert got[1].description == "Bright room, , with a desk, two - A screen - Chairs. end." and got[1].url == "u"
+    assert got[2].description == "Rules: No food, No drink. Ask the desk ."
+    assert (got[4].name, got[4].description, got[4].capacity) == ("Odd", "", 0)
+
+
+def test_space_slots(spark):
+    spaces = spark.createDataFrame([("r", "2024-05-01 09:00:00", "2024-05-01 09:30:00", None), ("r", "2024-05-01 09:30:00", "2024-05-01 10:00:00", "taken")],
+                                   "room string, starts string, ends string, class_name string")
+    assert [(str(r.starts), r.is_available) for r in rooms.space_slots(spaces).orderBy("starts").collect()] == [
+        ("2024-05-01 09:00:00", True), ("2024-05-01 09:30:00", False)]
+
+
+def _grid(years=True):
+    head = '<tr class="plangridyear"><th colspan=3>{}</th></tr><tr class="plangridterm"><th>Fall</th><th>Winter</th></tr>'
+    rows = "<tr><td>A 1<sup>2</sup></td><td> B&amp;C  2 </td><td></td></tr><tr><td></td><td></td><td></td></tr>"
+    return '<table class="x sc_plangrid"><tr class="plangridyear"><th> </th></tr>' + "".join(
+        (head.format(y) if years else "") + rows for y in ("Freshman", "Sophomore")[:2 if years else 1]) + "</table>"
+
+
+def test_program_grids(spark):
+    one = f'<p>x</p><div id="sampleprogramtextcontainer"><h4>For Juniors</h4>{_grid(False)}<p>NOTES: First.</p><p>Second</p><ol><li>Third<li>Fourth</ol><h3>End</h3><p>no</p></div>'
+    two = (f'<div id="sampleprogramtextcontainer"><h3>Sample Program — General</h3>{_grid()}<dl class="sc_footnotes"><dt>1</dt><dd><p>Foot</p></dd></dl>'
+           f"<p>Special track</p>{_grid()}<table><tr><td>other</td></tr></table></div>{_grid()}")
+    foot = f'<div id="sampleprogramtextcontainer">{_grid()}<dl class="sc_footnotes"><dd>Only foot</dd></dl></div>'
+    star = f'<div id="sampleprogramtextcontainer">{_grid()}<p>* starred</p><p>plain</p><p>2. counted</p></div>'
+    pages = spark.createDataFrame([(1, one), (2, two), (3, foot), (4, star), (5, "<table class=sc_plangrid></table>")], "k int, html string")
+    rows, variations = grids.program_grids(sinks.keep(markup.elements(pages, "k", "html", True), "elements"), "k")
+    of = {}
+    for r in rows.orderBy("k", "grid", "pos").collect():
+        of.setdefault(r.k, []).append(r.header or list(r.cells))
+    cells = ["A 1", "B&C 2", ""]
+    assert of[1] == ["Junior", cells] and of[3] == ["Freshman", cells, "Sophomore", cells] and of[2] == of[3] * 2
+    assert [(r.k, r.label, r.notes) for r in variations.orderBy("k", "grid").collect()] == [
+        (1, None, ["First.", "Second", "Third", "Fourth"]), (2, "General", ["Foot"]), (2, "Special track", []), (3, None, ["Only foot"]),
+        (4, None, ["* starred", "2. counted"])]
+    terms = grids.grid_to_terms(rows.where("k = 3"), "k", "pos", "header", "cells", F.lit(0)).orderBy("year").collect()
+    assert [(t.year, t.fall, t.winter, t.spring) for t in terms] == [("Freshman", ["A 1"], ["B&C 2"], []), ("Sophomore", ["A 1"], ["B&C 2"], [])]
+
+
 def _term(spark):
     return spark.sql("SELECT '2025' year, 'Fall' quarter, DATE '2025-09-25' instruction_start, DATE '2025-12-05' instruction_end,"
                      " DATE '2025-12-06' finals_start, DATE '2025-12-12' finals_end")
