@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import fixed
 from quadlake.functions.project import content_id
+from quadlake.sources import sinks
 
 # Words that speak of a specialization, and one advice text that does not.
 SPECIALIZATION_WORDS = "(?i)specialization|concentration|emphasis|area|track|major"
@@ -69,114 +70,79 @@ def _branches(v: Column) -> Column:
     return F.concat(_rules(v, "$.requirement.ifPart.ruleArray"), _rules(v, "$.requirement.elsePart.ruleArray"))
 
 
-def _placed(inner: Column, path: Column) -> Column:
-    """Rules of an array with their paths, which order siblings as in the source."""
-    return F.transform(inner, lambda v, i: F.struct(
-        F.concat_ws(".", F.nullif(path, F.lit("")), F.lpad(i.cast("string"), 4, "0")).alias("path"), v.alias("v")))
-
-
-def _children(level: Column, rounds: int) -> Column:
-    """Placed rules below the nodes of a level; nested conditions give their own rules.
-
-    Each step is its own transform, so that a value is computed once per rule.
-    """
-    nothing = F.expr("cast(array() as array<struct<path: string, v: variant>>)")
-    kinds = F.transform(level, lambda n: F.struct(n.alias("n"), _kind(n["v"]).alias("kind")))
-    parents = F.filter(kinds, lambda x: x["kind"].isin("IfStmt", "Group", "Subset"))
-    opened = F.transform(parents, lambda x: F.struct(
-        x["n"].alias("n"), (x["kind"] == "IfStmt").alias("condition"),
-        F.coalesce(_placed(F.when(x["kind"] == "IfStmt", _branches(x["n"]["v"])).otherwise(
-            _rules(x["n"]["v"], "$.ruleArray")), x["n"]["path"]), nothing).alias("placed")))
-    for _ in range(rounds):
-        opened = F.transform(opened, lambda x: F.struct(
-            x["n"].alias("n"), x["condition"].alias("condition"),
-            F.when(x["condition"] & F.exists(x["placed"], lambda k: _kind(k["v"]) == "IfStmt"),
-                   F.flatten(F.transform(x["placed"], lambda k: F.when(
-                       _kind(k["v"]) == "IfStmt", _placed(_branches(k["v"]), k["path"])).otherwise(F.array(k)))))
-            .otherwise(x["placed"]).alias("placed")))
-    return F.flatten(F.transform(opened, lambda x: F.transform(x["placed"], lambda k: F.struct(
-        k["path"].alias("path"), x["n"]["path"].alias("owner"),
-        F.concat(x["n"]["owners"], F.array(x["n"]["path"])).alias("owners"), k["v"].alias("v")))))
-
-
 def _course_names(v: Column) -> Column:
     return F.transform(_rules(v, "$.requirement.courseArray"), lambda c: F.concat(
         _get(c, "$.discipline"), F.lit(" "), _get(c, "$.number"),
         F.coalesce(F.concat(F.lit("-"), _get(c, "$.numberEnd")), F.lit(""))))
 
 
-def _resolved(level: Column, lower: Column | None) -> Column:
-    """Requirements of the nodes of a level, given the resolved rules they own.
+def _walked(audits: DataFrame, key: str, rules: str) -> list[DataFrame]:
+    """Rules by their depth in the documents: key, path, owner, depth of the owner, owners, and what is read off each.
 
-    One transform per step, so that each value is computed once per rule.
-    """
-    nothing = F.expr("cast(array() as array<struct<kind: string, rule_type: string, requirement_id: string>>)")
-
-    def keep(x: Column, *names: str) -> list[Column]:
-        return [x[n].alias(n) for n in names]
-
-    read = F.transform(level, lambda n: F.struct(
-        *keep(n, "path", "owner", "owners"), _kind(n["v"]).alias("rule_type"),
-        plain_label(_get(n["v"], "$.label")).alias("text"),
-        _get(n["v"], "$.requirement.classesBegin").try_cast("int").alias("classes"),
-        _get(n["v"], "$.requirement.creditsBegin").try_cast("int").alias("credits"),
-        _get(n["v"], "$.requirement.numberOfGroups").try_cast("int").alias("groups"),
-        _course_names(n["v"]).alias("listed"),
-        (nothing if lower is None else F.filter(lower, lambda c: c["owner"] == n["path"])).alias("inner")))
-    facts = ["path", "owner", "owners", "rule_type", "text", "classes", "credits", "groups", "listed"]
-    counted = F.transform(read, lambda n: F.struct(
-        *keep(n, *facts), F.size(n["inner"]).alias("n_rules"),
-        F.exists(n["inner"], lambda c: F.coalesce(c["rule_type"] == "Block", F.lit(False))).alias("blocked"),
-        F.array_compact(F.transform(n["inner"], lambda c: c["requirement_id"])).alias("ids")))
-
-    def kind(n: Column) -> Column:
-        rule = n["rule_type"]
-        return (F.when((rule == "Course") & n["classes"].isNotNull(), "Course")
-                .when((rule == "Course") & n["credits"].isNotNull(), "Unit")
-                .when(rule.isin("Group", "Subset"), "Group")
-                .when((rule == "IfStmt") & ~n["blocked"] & (n["n_rules"] > 1), "Group")
-                .when(rule.isin("Complete", "Incomplete"), "Marker"))
-
-    known = F.transform(counted, lambda n: F.struct(
-        *keep(n, *facts, "n_rules", "blocked", "ids"), kind(n).alias("kind")))
-
-    def needed(n: Column) -> Column:
-        rule = n["rule_type"]
-        return (F.when(n["kind"] == "Course", n["classes"]).when(n["kind"] == "Unit", n["credits"])
-                .when(rule == "Group", n["groups"]).when(rule == "Subset", F.size(n["ids"]))
-                .when(n["kind"].isNotNull() & (rule == "IfStmt"), 1))
-
-    def salt(n: Column) -> Column:
-        return (F.when(n["kind"].isin("Course", "Unit"), F.array_join(n["listed"], "_"))
-                .when(n["kind"] == "Marker", n["text"]).otherwise(F.array_join(n["ids"], "_")))
-
-    def passed(n: Column) -> Column:
-        """A condition around a single rule stands for that rule."""
-        return F.when((n["rule_type"] == "IfStmt") & ~n["blocked"] & (n["n_rules"] == 1), F.get(n["ids"], F.lit(0)))
-
-    return F.transform(known, lambda n: F.struct(
-        *keep(n, "path", "owner", "owners", "rule_type", "blocked", "kind"),
-        F.when(n["kind"].isNotNull(), F.when(n["rule_type"] == "IfStmt", SELECT_ONE).otherwise(n["text"])).alias("label"),
-        needed(n).alias("needed"), F.when(n["kind"].isin("Course", "Unit"), n["listed"]).alias("courses"),
-        F.when(n["kind"].isNotNull(), requirement_id(n["kind"], salt(n))).otherwise(passed(n)).alias("requirement_id")))
-
-
-def _lists_within(rules: str) -> Column:
-    """How many lists lie within each other at most: no rule of the document is deeper.
-
-    Texts are left out first, then lists without lists in them, except those of rules.
+    Each round opens the rules of the last one and writes the rules they hold, so every rule is read once and the walk
+    ends where no rule holds another. Paths order siblings as in the source. A condition right inside a
+    condition is none of its own: what it holds belongs to the outer one.
     """
-    json = F.replace(F.to_json(rules), F.lit('"ruleArray":['), F.lit("\x01"))
-    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), "[^\x01\\[\\]]", "")
-    # Lists of courses and advice end at once; every list that holds rules stays.
-    opened = F.split(F.regexp_replace(marks, r"\[\]", ""), "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
-
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["now"] + F.when(mark == "]", -1).when(mark == "", 0).otherwise(1)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
-
-    return F.aggregate(opened, zero, step, lambda acc: acc["most"])
+    def place(at: str) -> Column:
+        return F.lpad(F.col(at).cast("string"), 4, "0")
+
+    open_ = (audits.select(key, F.posexplode(_rules(F.col(rules), "$")).alias("i", "v"))
+             .select(key, place("i").alias("path"), F.lit("").alias("owner"), F.lit(-1).alias("held_at"),
+                     F.array().cast("array<string>").alias("owners"), F.lit(False).alias("within"), "v"))
+    levels, depth = [], 0
+    while True:
+        read = open_.withColumn("rule_type", _kind(F.col("v"))).withColumn("through", F.col("within") & (F.col("rule_type") == "IfStmt"))
+        held = (F.when(F.col("rule_type") == "IfStmt", _branches(F.col("v")))
+                .when(F.col("rule_type").isin("Group", "Subset"), _rules(F.col("v"), "$.ruleArray")))
+        v = F.col("v")
+        level = sinks.keep(read.select(
+            key, "path", "owner", "held_at", "owners", "rule_type", "through", plain_label(_get(v, "$.label")).alias("text"),
+            _get(v, "$.requirement.classesBegin").try_cast("int").alias("classes"),
+            _get(v, "$.requirement.creditsBegin").try_cast("int").alias("credits"),
+            _get(v, "$.requirement.numberOfGroups").try_cast("int").alias("groups"), _course_names(v).alias("listed"), held.alias("held")), "rules")
+        levels.append(level.where("NOT coalesce(through, false)").drop("through", "held"))
+        more = level.where(F.size("held") > 0)
+        if more.isEmpty():
+            return levels
+        through = F.coalesce("through", F.lit(False))
+        open_ = (more.select(key, F.col("path").alias("above"), F.when(through, F.col("owner")).otherwise(F.col("path")).alias("owner"),
+                             F.when(through, F.col("held_at")).otherwise(F.lit(depth)).alias("held_at"),
+                             F.when(through, F.col("owners")).otherwise(F.concat("owners", F.array("path"))).alias("owners"),
+                             (F.col("rule_type") == "IfStmt").alias("within"), F.posexplode("held").alias("i", "v"))
+                 .withColumn("path", F.concat_ws(".", "above", place("i"))).drop("above", "i"))
+        depth += 1
+
+
+def _resolved(level: DataFrame, key: str, below: DataFrame | None) -> DataFrame:
+    """Requirements of the rules of one depth, given the resolved rules they own."""
+    ids, counted = F.array().cast("array<string>"), level.withColumns({"n_rules": F.lit(0), "blocked": F.lit(False)})
+    if below is not None:
+        listed = F.array_sort(F.collect_list(F.when(F.col("requirement_id").isNotNull(), F.struct("path", "requirement_id"))))
+        inner = below.groupBy(F.col(key).alias("_key"), F.col("owner").alias("_owner")).agg(
+            F.count("*").cast("int").alias("n_rules"), F.bool_or(F.coalesce(F.col("rule_type") == "Block", F.lit(False))).alias("blocked"),
+            F.transform(listed, lambda x: x["requirement_id"]).alias("ids"))
+        counted = (level.join(inner, (F.col(key) == F.col("_key")) & (F.col("path") == F.col("_owner")), "left").drop("_key", "_owner")
+                   .na.fill({"n_rules": 0, "blocked": False}))
+        ids = F.coalesce("ids", ids)
+    counted = counted.withColumn("ids", ids)
+    rule = F.col("rule_type")
+    kind = (F.when((rule == "Course") & F.col("classes").isNotNull(), "Course")
+            .when((rule == "Course") & F.col("credits").isNotNull(), "Unit")
+            .when(rule.isin("Group", "Subset"), "Group")
+            .when((rule == "IfStmt") & ~F.col("blocked") & (F.col("n_rules") > 1), "Group")
+            .when(rule.isin("Complete", "Incomplete"), "Marker"))
+    needed = (F.when(F.col("kind") == "Course", F.col("classes")).when(F.col("kind") == "Unit", F.col("credits"))
+              .when(rule == "Group", F.col("groups")).when(rule == "Subset", F.size("ids"))
+              .when(F.col("kind").isNotNull() & (rule == "IfStmt"), 1))
+    salt = (F.when(F.col("kind").isin("Course", "Unit"), F.array_join("listed", "_"))
+            .when(F.col("kind") == "Marker", F.col("text")).otherwise(F.array_join("ids", "_")))
+    # A condition around a single rule stands for that rule.
+    passed = F.when((rule == "IfStmt") & ~F.col("blocked") & (F.col("n_rules") == 1), F.get("ids", F.lit(0)))
+    return counted.withColumn("kind", kind).withColumns({
+        "label": F.when(F.col("kind").isNotNull(), F.when(rule == "IfStmt", SELECT_ONE).otherwise(F.col("text"))),
+        "needed": needed, "courses": F.when(F.col("kind").isin("Course", "Unit"), F.col("listed")),
+        "requirement_id": F.when(F.col("kind").isNotNull(), requirement_id(F.col("kind"), salt)).otherwise(passed)}).select(
+        key, "path", "owner", "held_at", "owners", "rule_type", "blocked", "kind", "label", "needed", "courses", "requirement_id")
 
 
 def requirement_nodes(audits: DataFrame, key: str, rules: str) -> DataFrame:
@@ -185,30 +151,25 @@ def requirement_nodes(audits: DataFrame, key: str, rules: str) -> DataFrame:
     Columns: key, path, parent_path, kind, label, needed, courses, requirement_id.
     Blocks and non-course rules vanish, conditions become "select one" groups or their
     only rule, a condition around a block vanishes whole. Ids hash the contents from
-    the leaves upwards. A tree never leaves its row: levels are arrays built from the
-    root down and resolved from the leaves up, so the job has no shuffle. A level is a
-    step in the requirement tree; `owner` is the rule that holds a rule there. How many
-    levels there are is asked of the documents first: one number.
+    the leaves upwards. The documents are walked once, from the root down; then each depth is resolved
+    from what the deeper ones gave it, so the work is linear in the rules however deep they lie. Every round is
+    written to the work folder: this runs jobs, as many as the documents are deep.
     """
-    depth = audits.agg(F.max(_lists_within(rules))).first()[0] or 1
-    first = F.transform(_placed(_rules(F.col(rules), "$"), F.lit("")), lambda k: F.struct(
-        k["path"].alias("path"), F.lit("").alias("owner"), F.array().cast("array<string>").alias("owners"),
-        k["v"].alias("v")))
-    df = audits.select(key, first.alias("_l0"))
-    for i in range(depth - 1):
-        # A condition on this level holds as many conditions in a row as there are levels left.
-        df = df.withColumn(f"_l{i + 1}", _children(F.col(f"_l{i}"), depth - i - 2))
-    df = df.withColumn(f"_r{depth - 1}", _resolved(F.col(f"_l{depth - 1}"), None))
-    for i in reversed(range(depth - 1)):
-        df = df.withColumn(f"_r{i}", _resolved(F.col(f"_l{i}"), F.col(f"_r{i + 1}")))
-    nodes = df.select(key, F.concat(*[F.col(f"_r{i}") for i in range(depth)]).alias("_nodes"))
-    dropped = F.transform(F.filter("_nodes", lambda n: (n["rule_type"] == "IfStmt") & n["blocked"]), lambda n: n["path"])
-    kept = (nodes.withColumn("_dropped", dropped)
-            .select(key, F.explode(F.filter("_nodes", lambda n: n["kind"].isNotNull())).alias("n"), "_dropped")
-            .where(~F.arrays_overlap("n.owners", "_dropped")))
-    return kept.select(
-        key, "n.path", F.col("n.owner").alias("parent_path"), "n.kind", "n.label", "n.needed", "n.courses",
-        "n.requirement_id")
+    levels = _walked(audits, key, rules)
+    resolved = [sinks.keep(_resolved(levels[-1], key, None), "resolved")]
+    for depth in reversed(range(len(levels) - 1)):
+        below = resolved[0].where(F.col("held_at") == depth)
+        for deeper in resolved[1:]:
+            below = below.unionByName(deeper.where(F.col("held_at") == depth))
+        resolved.append(sinks.keep(_resolved(levels[depth], key, below), "resolved"))
+    nodes = resolved[0]
+    for more in resolved[1:]:
+        nodes = nodes.unionByName(more)
+    dropped = (nodes.where((F.col("rule_type") == "IfStmt") & F.col("blocked")).groupBy(F.col(key).alias("_key"))
+               .agg(F.collect_list("path").alias("_dropped")))
+    kept = (nodes.where("kind IS NOT NULL").join(dropped, F.col(key) == F.col("_key"), "left")
+            .where(~F.coalesce(F.arrays_overlap("owners", "_dropped"), F.lit(False))))
+    return kept.select(key, "path", F.col("owner").alias("parent_path"), "kind", "label", "needed", "courses", "requirement_id")
 
 
 def needs_specialization(rules: str) -> Column:
