@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quadlake.sources import feeds, sinks, tabular
+from quadlake.sources import feeds, sinks, tabular, markup
 from quadlake.streaming import snapshots
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, value double"
@@ -24,15 +24,49 @@ def test_json_feed(spark, rows):
 
 
 def test_xml_single_and_repeated_nodes(spark):
-    doc = ('<listing><school><name>S</name><department><code>D</code><course><number>1</number>'
-           '<section><code>100</code><waitlist>100</waitlist><instructor>A</instructor></section></course>'
-           '<course><number>2</number><section><code>200</code></section><section><code>201</code><waitlist>3</waitlist></section></course></department></school></listing>')
+    full = ('<section><course_code>100</course_code><sec_type>Lec</sec_type><sec_num>A</sec_num><sec_units>4</sec_units>'
+            '<sec_instructors><instructor>A, B.</instructor><instructor/><instructor>C &amp; D</instructor></sec_instructors><sec_modality>In-person</sec_modality>'
+            '<sec_meetings><sec_meet><sec_days>MWF</sec_days><sec_time>9-9:50</sec_time><sec_bldg>HALL</sec_bldg><sec_room>1</sec_room></sec_meet>'
+            '<sec_meet><sec_days>Tu</sec_days><sec_bldg>LAB</sec_bldg></sec_meet></sec_meetings>'
+            '<sec_final><sec_final_date>Mar 3</sec_final_date><sec_final_day>Mon</sec_final_day><sec_final_time>8-10am</sec_final_time></sec_final>'
+            '<sec_enrollment><sec_max_enroll>9</sec_max_enroll><sec_enrolled>8</sec_enrolled><sec_waitlist>100</sec_waitlist><sec_wait_cap>3</sec_wait_cap>'
+            '<sec_enroll_requests>7</sec_enroll_requests><sec_new_only_reserved>100</sec_new_only_reserved></sec_enrollment>'
+            '<sec_restrictions>A and B</sec_restrictions><sec_status>OPEN</sec_status><sec_comment>Note</sec_comment></section>')
+    tba = "<section><course_code>200</course_code><sec_final><sec_final_date>TBA</sec_final_date></sec_final></section>"
+    doc = ('<?xml version="1.0"?><websoc_results><course_list><school school_name="S &amp; T"><school_comment>hi</school_comment>'
+           '<department dept_code="D" dept_name="Dept" dept_case="x"><course_code_range_comment range="1-2">codes</course_code_range_comment>'
+           f'<course course_number="1" course_title="One">{full}</course><course course_number="2"><course_comment>c</course_comment>{tba}{tba.replace("200", "201")}</course>'
+           "</department></school></course_list></websoc_results>")
+    empty = "<websoc_results><course_list/></websoc_results>"
     tables = feeds.parse_xml_listing(spark.createDataFrame(
-        [(1, doc), (2, doc[:-20]), (3, "no listing"), (4, None)], "k int, d string"), "d", ["k"])
+        [(1, doc), (2, doc[:-20]), (3, "no listing"), (4, None), (5, empty)], "k int, d string"), "d", ["k"])
     assert {r.k: r.d for r in tables.pop("rejected").collect()} == {2: doc[:-20], 3: "no listing", 4: None}
     assert {n: df.count() for n, df in tables.items()} == {"school": 1, "department": 1, "course": 2, "section": 3}
-    got = {r.section_code: (r.waitlist, r.instructors, r.kind) for r in tables["section"].collect()}
-    assert got == {"100": ("", ["A"], ""), "200": ("", [], ""), "201": ("3", [], "")}
+    assert tuple(tables["school"].first()) == (1, "S & T", "hi")
+    assert tuple(tables["department"].first())[1:] == ("S & T", "D", "Dept", "", ["codes"], [])
+    r = {r.section_code: r for r in tables["section"].collect()}
+    a = r["100"]
+    assert (a.department, a.course_number, a.title, a.section_type, a.section_num, a.units, a.modality, a.restrictions, a.status, a.comment) == (
+        "D", "1", "One", "Lec", "A", "4", "In-person", "A and B", "OPEN", "Note")
+    assert a.instructors == ["A, B.", "C & D"] and [tuple(m) for m in a.meetings] == [("MWF", "9-9:50", "HALL 1"), ("Tu", "", "LAB")]
+    assert (a.final_exam, a.max_capacity, a.total_enrolled, a.section_enrolled, a.waitlist, a.waitlist_cap, a.requested, a.reserved) == (
+        "Mon Mar 3 8-10am", "9", "8", "", "", "3", "7", "")
+    assert (r["200"].final_exam, r["200"].meetings, r["200"].instructors, r["200"].title) == ("TBA", [], [], "")
+
+
+def test_listings_are_parsed_once(spark):
+    raw = spark.createDataFrame([(1, "<websoc_results/>")], "k int, d string")
+    for name, table in feeds.parse_xml_listing(raw, "d", ["k"]).items():
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml") == 1, (name, plan)
+
+
+def test_web_links(spark):
+    html = ('<table><tr><td>Code</td></tr><tr><td> 34000 </td><td><a href="/x"> Book</a> <a href="http://w/1?a=1&amp;b=2">Web</a></td></tr>'
+            "<tr><td>34001<td>none</table><a href='/out'>Web</a>")
+    pages = spark.createDataFrame([(1, html)], "k int, html string")
+    got = feeds.web_links(markup.elements(pages, "k", "html"), "k").collect()
+    assert [(r.section_code, r.web_url) for r in got] == [("34000", "http://w/1?a=1&b=2")]
 
 
 def test_publish_moves_the_view(spark, tmp_path):
