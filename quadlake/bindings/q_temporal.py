@@ -1,5 +1,7 @@
 """Temporal queries and the streaming jobs run to completion."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quadlake.bindings.registry import query
@@ -93,11 +95,22 @@ def hours_status(t):
     return out.select("event_id", "status", "poll", "local_hour")
 
 
-def _events_stream(t, files_per_batch=None):
+#: The time the events begin and a quarter of their range, in seconds.
+_RANGE = "SELECT epoch(min(ts)) AS lo, (epoch(max(ts)) - epoch(min(ts))) / 4 AS q FROM events"
+
+
+def _landed_events(t, root):
+    """The events as four files that land one after the other, in the order of time; where each begins."""
     from quadlake.sources import schemas
     from quadlake.streaming import snapshots
 
-    return snapshots.landed(t.spark, t.folder, schemas.ddl("events"), files_per_batch, "events.parquet")
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    low, high = t.events.agg(F.min(seconds), F.max(seconds)).first()
+    quarter = F.least(F.floor((seconds - low) / max((high - low) / 4, 1)), F.lit(3))
+    for i in range(4):
+        t.events.where(quarter == i).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    begins = [dt.datetime.fromtimestamp(low + (high - low) / 4 * i, dt.timezone.utc).replace(tzinfo=None) for i in range(4)]
+    return snapshots.landed(t.spark, f"{root}/landed", schemas.ddl("events"), 1), begins
 
 
 @query("stream_latest", """
@@ -109,8 +122,9 @@ def stream_latest(t):
     from quadlake.streaming import snapshots
 
     root = snapshots.run_folder(t.spark, "latest")
-    latest = snapshots.start_latest(_events_stream(t), f"{root}/latest", "user_id", "ts", "event_id")
-    daily = snapshots.start_daily_first(_events_stream(t), f"{root}/daily", "user_id", "ts", "event_id")
+    source, _ = _landed_events(t, root)
+    latest = snapshots.start_latest(source, f"{root}/latest", "user_id", "ts", "event_id", buckets=8)
+    daily = snapshots.start_daily_first(source, f"{root}/daily", "user_id", "ts", "event_id")
     latest.awaitTermination()
     daily.awaitTermination()
     current = snapshots.current_table(t.spark, f"{root}/latest", "current", snapshots.last_batch(latest))
@@ -119,3 +133,23 @@ def stream_latest(t):
     tagged = {"current": current, "history": history, "daily": first}
     parts = [df.select(F.lit(name).alias("kind"), "user_id", "event_id") for name, df in tagged.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("stream_slots", f"""
+WITH r AS ({_RANGE}), s AS (SELECT user_id AS room, ts AS starts, ts + INTERVAL 1 MINUTE * CAST(floor(value * 100) AS INT) AS ends, event_type FROM events)
+SELECT room, strftime(starts, '%Y-%m-%d %H:%M:%S') AS starts, strftime(ends, '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS slots FROM (SELECT DISTINCT room, starts, ends FROM s), r
+WHERE epoch(ends) >= lo + 3 * q GROUP BY 1, 2, 3
+""")
+def stream_slots(t):
+    """Slots of many minutes, landed in four batches while the clock goes on."""
+    from quadlake.streaming import snapshots
+
+    root = snapshots.run_folder(t.spark, "slots")
+    source, begins = _landed_events(t, root)
+    slots = source.selectExpr("user_id AS room", "ts AS starts", "ts + INTERVAL 1 MINUTE * CAST(floor(value * 100) AS INT) AS ends", "event_type AS kind")
+    clock = iter(begins)
+    query_ = snapshots.start_slots(slots, f"{root}/table", lambda: next(clock, begins[-1]))
+    query_.awaitTermination()
+    left = snapshots.slots_table(t.spark, f"{root}/table", snapshots.last_batch(query_), begins[-1])
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("starts", "ends")]
+    return left.groupBy("room", *shown).agg(F.count("*").alias("slots"))

@@ -31,6 +31,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is missing."""
+    where, system = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(x.getPath().getName() for x in system.listStatus(where) if x.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
     where, system = _file_system(spark, posixpath.join(path, "_SUCCESS"))

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,15 +139,48 @@ def test_a_repeated_batch_changes_nothing(spark, dropped, rows):
 
 def test_slot_stream(spark, tmp_path, rows):
     schema = "room string, starts timestamp_ntz, ends timestamp_ntz, available boolean"
-    for i, free in enumerate((True, False)):
-        spark.sql(f"SELECT 'r' room, TIMESTAMP_NTZ '2024-01-02 09:00:00' starts, TIMESTAMP_NTZ '2024-01-02 10:00:00' ends, {free} available "
-                  f"UNION ALL SELECT 'r', TIMESTAMP_NTZ '2023-01-0{i + 1} 09:00:00', TIMESTAMP_NTZ '2023-01-0{i + 1} 10:00:00', true"
-                  ).coalesce(1).write.parquet(str(tmp_path / f"drop={i}"))
+
+    def slots(*values):
+        return " UNION ALL ".join(f"SELECT 'r' room, TIMESTAMP_NTZ '{s}' starts, TIMESTAMP_NTZ '{e}' ends, {a} available" for s, e, a in values)
+
+    drops = [[("2024-01-02 09:00:00", "2024-01-02 10:00:00", "true"), ("2024-01-05 09:00:00", "2024-01-05 10:00:00", "true"),
+              ("2023-01-01 09:00:00", "2023-01-01 10:00:00", "true"), ("2024-01-03 08:00:00", "2024-01-03 09:00:00", "true")],
+             [("2024-01-05 09:00:00", "2024-01-05 10:00:00", "false"), ("2024-01-01 09:00:00", "2024-01-01 10:00:00", "true")],
+             [("2024-01-06 09:00:00", "2024-01-06 10:00:00", "CAST(NULL AS boolean)")]]
+    for i, values in enumerate(drops):
+        spark.sql(slots(*values)).coalesce(1).write.parquet(str(tmp_path / f"drop={i}"))
+    root = snapshots.run_folder(spark, "t")
+    times = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3, 12)]
+    query = snapshots.start_slots(snapshots.landed(spark, str(tmp_path) + "/drop=*", schema, 1), root, iter(times).__next__)
+    query.awaitTermination()
+    # Past days are gone as folders; the ended slot of today only for readers.
+    assert sinks.child_folders(spark, f"{root}/slots") == ["end_day=2024-01-03", "end_day=2024-01-05", "end_day=2024-01-06"]
+    left = snapshots.slots_table(spark, root, snapshots.last_batch(query), times[-1])
+    assert rows(left.withColumn("day", F.dayofmonth("ends")), "day", "available") == [(5, False), (6, None)]
+
+
+def test_a_batch_reads_and_writes_what_it_touches(spark, tmp_path, rows):
+    """One row for each of eight keys, then one key at a time: the other buckets keep their first version."""
+    drops = [[(k, k, f"2024-01-0{k % 3 + 1} 00:00:00") for k in range(8)], *[[(100 + i, 3, f"2024-02-0{i} 00:00:00")] for i in range(1, 7)]]
+    for i, values in enumerate(drops):
+        spark.sql(" UNION ALL ".join(f"SELECT {e}L event_id, TIMESTAMP_NTZ '{t}' ts, {k}L user_id" for e, k, t in values)).coalesce(1).write.parquet(
+            str(tmp_path / f"drop={i}"))
     root = snapshots.run_folder(spark, "t")
-    query = snapshots.start_slots(snapshots.landed(spark, str(tmp_path) + "/drop=*", schema, 1), root, "2024-01-01 00:00:00")
+    source = snapshots.landed(spark, str(tmp_path) + "/drop=*", "event_id long, ts timestamp_ntz, user_id long", 1)
+    query = snapshots.start_latest(source, root, "user_id", "ts", "event_id", buckets=4)
     query.awaitTermination()
-    slots = snapshots.current_table(spark, root, "slots", snapshots.last_batch(query))
-    assert rows(slots, "room", "available") == [("r", False)]
+    last = snapshots.last_batch(query)
+    assert last == 6
+    versions = {b: sinks.child_folders(spark, f"{root}/current/{b}") for b in sinks.child_folders(spark, f"{root}/current") if "=" in b}
+    hot = [v for v in versions.values() if len(v) > 1]
+    # Of the hot bucket the version of batch 3 is still the newest before the last three; the older ones are gone.
+    assert hot == [["v=3", "v=4", "v=5", "v=6"]] and all(v == ["v=0"] for v in versions.values() if len(v) == 1)
+    assert rows(snapshots.current_table(spark, root, "current", last), "user_id", "event_id") == [
+        (k, 106 if k == 3 else k) for k in range(8)]
+    assert (3, 104) in rows(snapshots.current_table(spark, root, "current", 4), "user_id", "event_id")
+    folders = snapshots.latest_folders(spark, f"{root}/current", ["bucket=0"], last)
+    read = snapshots.read_folders(spark, f"{root}/current", folders, source.schema, "v", "bucket")
+    assert {f.split("bucket=")[1][0] for f in read.inputFiles()} == {"0"}
 
 
 def test_shared_folder_comes_from_the_session(spark):
