@@ -239,7 +239,8 @@ def events_localize(t):
         clock.alias("start_time"), F.lit(None).cast("string").alias("end_date"),
         F.when(F.col("value") > 50, F.concat(F.date_format("ts", "HH"), F.lit(":59:59"))).alias("end_time"))
     images = (t.events.where("event_type = 'view'").select(title.alias("title"), F.col("event_id").alias("image_pos"))
-              .withColumn("image", F.concat(F.lit("img-"), "title")))
+              .withColumn("url", F.concat(F.lit("/"), F.repeat(F.lit("x"), F.lit(34)), F.lit("/"), "title", F.lit("/as/picture/large.png"))))
+    images = images.withColumn("image", dining.image_address("url", "img-"))
     out = dining.localize_events(raw, images, "America/Los_Angeles")
     return out.select(
         F.col("place").alias("user_id"), F.col("pos").alias("event_id"), "title",

@@ -108,6 +108,12 @@ def menu_tables(products: DataFrame, date_map: DataFrame, codes: Mapping[str, in
     }
 
 
+def image_address(url, base: str, skip: int = 36) -> Column:
+    """Address of an event's image: behind a start of fixed length the feed's path begins with the image's id."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.concat(F.lit(base), F.substring_index(F.substr(url, F.lit(skip + 1)), "/", 1))
+
+
 def localize_events(events: DataFrame, images: DataFrame, tz: str) -> DataFrame:
     """Local dates and times to UTC timestamps, images by title, one row per event.
 
@@ -127,5 +133,5 @@ def localize_events(events: DataFrame, images: DataFrame, tz: str) -> DataFrame:
         F.concat_ws("|", F.lit("time"), F.col("starts").cast("string"),
                     F.coalesce(F.col("ends").cast("string"), F.lit(""))))
     unique = last_wins(timed.withColumn("_key", key), ["place", "_key"], ["pos"])
-    first_image = images.groupBy("title").agg(F.max_by("image", "image_pos").alias("image"))
-    return unique.join(first_image, "title", "left").drop("_key")
+    last_image = images.groupBy("title").agg(F.max_by("image", "image_pos").alias("image"))
+    return unique.join(last_image, "title", "left").drop("_key")

@@ -126,31 +126,44 @@ def requirement_courses(includes: DataFrame, excludes: DataFrame, catalogue: Dat
     return per_course.where("_in AND NOT _out").drop("_in", "_out")
 
 
-def load_programs(records: DataFrame, catalog_year: str) -> dict[str, DataFrame]:
-    """Fan one (major, specialization) record out to its tables.
-
-    Columns of `records`: degree, degree_name, major_code, major_name, spec_code
-    (null for the major itself), spec_name, requirements.
+def load_programs(records: DataFrame, catalog_year: str, minors: DataFrame | None = None,
+                  schools: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Fan one (major, specialization) record out to its tables; of records with equal keys the last by `pos` stays.
+
+    Columns of `records`: pos, degree, degree_name, major_code, major_name, requirements, specialization_required,
+    college_name, college_requirements, and spec_code (null for the major itself), spec_name, spec_requirements. `minors`: pos, code,
+    name, requirements. `schools`: pos, kind (UC, GE, CHC4, CHC2), requirements; kinds without requirements are left out.
+    Ids are degree and code: of the major, or of the specialization. Equal requirements are one, by their hash.
     """
     division = F.when(F.col("degree").startswith("B"), "Undergraduate").otherwise("Graduate")
-    base = records.withColumn("major_id", F.concat_ws("-", "degree", "major_code"))
-    majors = base.where(F.col("spec_code").isNull())
+    base = records.withColumns({"major_id": F.concat_ws("-", "degree", "major_code"),
+                                "specialization_id": F.when(F.col("spec_code").isNotNull(), F.concat_ws("-", "degree", "spec_code")),
+                                "requirement_id": F.xxhash64("requirements")})
+    majors, specs = base.where(F.col("spec_code").isNull()), base.where(F.col("spec_code").isNotNull())
     year = F.lit(catalog_year).alias("catalog_year")
-    content = F.xxhash64("requirements")
-    return {
-        "degree": base.select(F.col("degree").alias("id"), F.col("degree_name").alias("name"),
-                              division.alias("division")).distinct(),
-        "major": majors.select(F.col("major_id").alias("id"), F.col("degree").alias("degree_id"),
-                               F.col("major_code").alias("code"), F.col("major_name").alias("name")).distinct(),
-        "major_requirement": base.select(content.alias("id"), "requirements").distinct(),
-        "major_year": majors.select("major_id", year, content.alias("requirement_id")).distinct(),
-        "major_specialization": base.select(
-            "major_id", F.when(F.col("spec_code").isNotNull(), F.concat("major_id", "spec_code"))
-            .alias("specialization_id"), year, content.alias("requirement_id")).distinct(),
-        "specialization": base.where(F.col("spec_code").isNotNull()).select(
-            F.concat("major_id", "spec_code").alias("id"), "major_id",
-            F.col("spec_name").alias("name")).distinct(),
+
+    def last(rows: DataFrame, keys: list[str], **columns) -> DataFrame:
+        chosen = [F.lit(catalog_year).alias(k) if k == "catalog_year" else F.col(columns[k]).alias(k) if k in columns else F.col(k) for k in keys]
+        rest = [(c if not isinstance(c, str) else F.col(c)).alias(n) for n, c in columns.items() if n not in keys]
+        return last_wins(rows.select(*chosen, *rest, "pos"), keys, ["pos"]).drop("pos")
+
+    tables = {
+        "degree": last(base, ["id"], id="degree", name="degree_name", division=division),
+        "major": last(majors, ["id"], id="major_id", degree_id="degree", code="major_code", name="major_name"),
+        "major_requirement": base.select(F.col("requirement_id").alias("id"), "requirements").distinct(),
+        "major_year": last(majors, ["major_id", "catalog_year"], specialization_required="specialization_required",
+                           college_requirements_title="college_name", college_requirements="college_requirements"),
+        "major_specialization": last_wins(base.select("major_id", "specialization_id", year, "requirement_id", "pos"),
+                                          ["major_id", "specialization_id", "catalog_year"], ["pos"]).drop("pos"),
+        "specialization": last(specs, ["id"], id="specialization_id", major_id="major_id", name="spec_name"),
+        "specialization_requirement": last(specs, ["specialization_id", "catalog_year"], requirements="spec_requirements"),
     }
+    if minors is not None:
+        tables["minor"] = last(minors, ["id"], id="code", name="name")
+        tables["minor_requirement"] = last(minors, ["minor_id", "catalog_year"], minor_id="code", requirements="requirements")
+    if schools is not None:
+        tables["school_requirement"] = last(schools.where("requirements IS NOT NULL"), ["kind", "catalog_year"], requirements="requirements")
+    return tables
 
 
 def load_credit_rules(rules: DataFrame) -> dict[str, DataFrame]:

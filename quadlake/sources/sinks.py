@@ -1,7 +1,7 @@
 """Writing table versions.
 
 Parquet has no multi-table transaction: every version goes to its own folder and
-a view of the session is then moved to it, dimensions before facts.
+the catalogue's table is then moved to it, dimensions before facts.
 """
 
 from __future__ import annotations
@@ -86,22 +86,44 @@ def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
     writer.saveAsTable(table)
 
 
-def publish(df: DataFrame, root: str, name: str, version: str) -> str:
-    """Write one version of a table and point the session view `name` at it.
+def publish(df: DataFrame, root: str, name: str, version: str, keep: int = 2) -> str:
+    """Write one version of a table and move the catalogue table `name` to it.
 
-    Readers of the view see the old version until the new one is complete, and the
-    job may read the very table it replaces. Each run takes a version of its own; a run
-    that failed half-way can be repeated.
+    The table is one of the session's catalogue, so every session that shares it reads what was published. Readers
+    see the old version until the new one is complete, and the job may read the very table it replaces: a job that stops
+    half-way leaves the table where it was, and can be repeated. Each run takes a version of its own; the last `keep` by
+    time are left on storage for readers that began before. A session that has read the table remembers its files until it
+    refreshes it (`spark.catalog.refreshTable`), as with any table. New columns make a new table of that name.
     """
+    spark = df.sparkSession
     path = posixpath.join(root, name, f"v={version}")
     df.write.mode("overwrite").parquet(path)
-    files = df.sparkSession.read.parquet(path)
-    files.createOrReplaceTempView(name)
+    moved = spark.catalog.tableExists(name) and spark.table(name).schema == spark.read.parquet(path).schema
+    where = path.replace("'", "\\'")
+    if moved:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{where}'")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{where}'")
+    spark.catalog.refreshTable(name)
+    _retire_versions(spark, posixpath.join(root, name), path, keep)
     return path
 
 
+def _retire_versions(spark: SparkSession, folder: str, current: str, keep: int) -> None:
+    """Delete complete versions but the current one and the newest before it."""
+    def time(path: str) -> int:
+        where, system = _file_system(spark, path)
+        return system.getFileStatus(where).getModificationTime()
+
+    versions = [posixpath.join(folder, v) for v in child_folders(spark, folder) if v.startswith("v=")]
+    others = sorted((v for v in versions if v != current and is_complete(spark, v)), key=time, reverse=True)
+    for old in others[max(keep - 1, 0):]:
+        delete_folder(spark, old)
+
+
 def publish_all(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, version: str) -> dict[str, str]:
-    """Publish tables in the given order (dimensions first)."""
+    """Publish tables in the given order (dimensions first): a fact never names a row its dimension lacks."""
     return {name: publish(df, root, name, version) for name, df in tables.items()}
 
 

@@ -71,13 +71,27 @@ def test_web_links(spark):
     assert [(r.section_code, r.web_url) for r in got] == [("34000", "http://w/1?a=1&b=2")]
 
 
-def test_publish_moves_the_view(spark, tmp_path):
+def test_publish_moves_the_table(spark, tmp_path):
     root = str(tmp_path)
     sinks.publish(spark.range(3).toDF("x"), root, "numbers", "1")
     assert spark.table("numbers").count() == 3
     # The job reads the table it replaces.
     sinks.refresh_view(lambda: spark.table("numbers").where("x > 0"), root, "numbers", "2")
     assert spark.table("numbers").count() == 2
+    other = spark.newSession()
+    assert other.table("numbers").count() == 2
+    # A job that stops half-way leaves the table where it was, for every session.
+    broken = spark.range(9).select(F.raise_error(F.lit("stopped")).cast("long").alias("x"))
+    with pytest.raises(Exception, match="stopped"):
+        sinks.publish(broken, root, "numbers", "3")
+    assert other.table("numbers").count() == 2 and spark.table("numbers").count() == 2
+    sinks.publish(spark.range(5).toDF("x"), root, "numbers", "3")
+    assert spark.newSession().table("numbers").count() == 5
+    other.catalog.refreshTable("numbers")
+    assert other.table("numbers").count() == 5
+    assert sinks.child_folders(spark, f"{root}/numbers") == ["v=2", "v=3"]
+    sinks.publish(spark.range(5).selectExpr("id AS x", "'a' AS y"), root, "numbers", "4")
+    assert spark.newSession().table("numbers").columns == ["x", "y"]
     paths = sinks.publish_all(spark, {"a": spark.range(1), "b": spark.range(2)}, root, "1")
     assert list(paths) == ["a", "b"] and spark.table("b").count() == 2
 
