@@ -7,13 +7,14 @@ runs whose key occurs more than once go on. Equal runs are told once, with their
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm.common import NO_ID, KeyFilter, Tally, batch, free_shuffles, retire, signed, stored, text_or_empty
@@ -23,6 +24,9 @@ _RUNS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("g"
 _CONTENTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("a", pa.int32()), ("content", pa.binary())])
 _CUTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
+#: Seconds in which Spark's cleaner, which works in the background, removes the shuffle files of plans that are done.
+CLEANING = 2.0
+
 #: Texts handled at once, in bytes.
 AT_ONCE = 1 << 18
 
@@ -134,6 +138,12 @@ def _cuts(width: int, same: bool):
     return run
 
 
+def _cleaned(spark: SparkSession) -> None:
+    """Shuffle files of what is done are gone before the next step writes its own."""
+    free_shuffles(spark)
+    time.sleep(CLEANING)
+
+
 def place(doc_id: str) -> Column:
     """Documents in order of their ids; those without one come last."""
     return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
@@ -152,13 +162,13 @@ def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[D
     own = docs.select(text_or_empty(text).alias("text"), place(doc_id).alias("o"), row_key(doc_id, text).alias("g"))
     shared = stored(own.select("text").mapInArrow(_count(keys), "k long, n long").groupBy("k")
                     .agg(F.sum("n").alias("n")).where("n > 1").select("k"), "keys")
-    free_shuffles(spark)
+    _cleaned(spark)
     known = spark.sparkContext.broadcast(KeyFilter.of(shared, "k"))
     # The filter lets a few others pass; they meet nothing and change nothing.
     met = stored(own.mapInArrow(_meet(found, known), "k long, c long, o long, g long, a int, n int"), "runs")
     retire(shared)
     told = stored(met.groupBy("k", "c").agg(F.min(F.struct("o", "a")).alias("at")).select("k", "c", "at.o", "at.a"), "told")
-    free_shuffles(spark)
+    _cleaned(spark)
     several = told.groupBy("k").count().where("count > 1").select("k")
     some = stored(told.join(several, "k", "left_semi"), "several")
     wanted = spark.sparkContext.broadcast(KeyFilter.of(some.select(F.expr(NAME).alias("name")), "name"))
@@ -170,7 +180,7 @@ def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[D
                   .groupBy("k", "c").agg(F.collect_list(F.struct("i", "j")).alias("cuts")), "cuts")
     retire(content)
     retire(some)
-    free_shuffles(spark)
+    _cleaned(spark)
     first = told.select("k", "c", F.col("o").alias("first"), F.col("a").alias("at")).join(cuts, ["k", "c"], "left")
     earlier = F.col("first") < F.col("o")
     if same:
