@@ -26,6 +26,8 @@ _CUTS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("i", pa.int32()), ("j"
 
 #: Seconds in which Spark's cleaner, which works in the background, removes the shuffle files of plans that are done.
 CLEANING = 2.0
+#: Shares of the keys whose runs are joined with their first places one after the other.
+PARTS = 3
 
 #: Texts handled at once, in bytes.
 AT_ONCE = 1 << 18
@@ -186,12 +188,16 @@ def repeated_spans(docs: DataFrame, keys: Keys, found: Found, solve: Callable[[D
     if same:
         earlier |= (F.col("first") == F.col("o")) & (F.col("at") < F.col("a"))
     whole = F.array(F.struct(F.lit(0).alias("i"), (F.col("n") - 1 + units).cast("int").alias("j")))
-    spans = stored(met.join(first, ["k", "c"]).where(earlier | F.col("cuts").isNotNull())
-                   .select("g", "a", F.explode(F.when(earlier, whole).otherwise(F.col("cuts"))).alias("x"))
-                   .select("g", F.expr("shiftleft(cast(a + x.i as bigint), 32) | (a + x.j)").alias("s")), "spans")
+    spans = None
+    for part in range(PARTS):  # one share of the keys at a time: what moves at once is that much less
+        mine = F.pmod("k", F.lit(PARTS)) == part
+        some = stored(met.where(mine).join(first.where(mine), ["k", "c"]).where(earlier | F.col("cuts").isNotNull())
+                      .select("g", "a", F.explode(F.when(earlier, whole).otherwise(F.col("cuts"))).alias("x"))
+                      .select("g", F.expr("shiftleft(cast(a + x.i as bigint), 32) | (a + x.j)").alias("s")), "spans")
+        spans = some if spans is None else spans.unionByName(some)
+        _cleaned(spark)
     for done in (met, told, cuts):
         retire(done)
-    free_shuffles(spark)
     return spans.groupBy("g").agg(F.collect_set("s").alias("_spans"))
 
 
