@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlake.operators.slices import paged_lists
@@ -68,14 +68,14 @@ def sorted_array_by(df: DataFrame, keys: Sequence[str], value: str, name: str) -
             .agg(F.array_sort(F.collect_set(value)).alias(name)))
 
 
-def distinct_array_by(df: DataFrame, keys: Sequence[str], value: str, slice_by: Column,
+def distinct_array_by(df: DataFrame, keys: Sequence[str], value: str, slice_by: Column | None,
                       name: str, page_size: int = 1000) -> DataFrame:
     """Distinct null-free values per group in pages, for value domains of any size."""
     values = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
     return paged_lists(values, keys, [value], slice_by, F.col(value), name, page_size)
 
 
-def nest(parent: DataFrame, child: DataFrame, key: str, order: Sequence, slice_by: Column,
+def nest(parent: DataFrame, child: DataFrame, key: str, order: Sequence, slice_by: Column | None,
          item: Column, name: str, page_size: int = 1000) -> DataFrame:
     """Parents with ordered child lists, one row per page; no child gives one empty page."""
     pages = paged_lists(child, [key], order, slice_by, item, name, page_size)
@@ -151,23 +151,27 @@ def group_intersection(sections: DataFrame, bridge: DataFrame, section: str, cou
     """Instructors shared by all sections of a section group, else the section's own.
 
     Sections belong together when their numbers carry the same letters; a section
-    without letters stands for the whole course. Counting replaces set intersection.
+    without letters stands for the whole course. Each section brings its people and one
+    mark: a person named as often as there are marks is shared. A section's people are a
+    short list, and counts combine before they move; nothing of a course is listed whole.
+    Without anybody in the bridge a section gives no row of its own; null people are people.
     """
     letters = F.upper(F.regexp_extract(F.col(number), "[A-Za-z]+", 0))
-    grouped = sections.select(section, course, letters.alias("_group"))
+    staffed = bridge.groupBy(section).agg(F.collect_set(F.struct(F.col(value).alias("v"))).alias("_own"))
+    base = (sections.select(section, course, letters.alias("_group")).join(staffed, section, "left")
+            .withColumn("_own", F.coalesce("_own", F.array().cast(staffed.schema["_own"].dataType))))
     # A lettered section counts in its own group and in the whole course ('').
     member = F.when(F.col("_group") == "", F.array(F.lit(""))).otherwise(
         F.array(F.col("_group"), F.lit("")))
-    members = grouped.select(section, course, F.explode(member).alias("_group"))
-    sizes = members.groupBy(course, "_group").agg(F.count(F.lit(1)).alias("_size"))
-    listed = (members.join(bridge.select(section, value).distinct(), section, "inner")
-              .groupBy(course, "_group", value).agg(F.count(F.lit(1)).alias("_in")))
-    shared = (listed.join(sizes, [course, "_group"], "inner")
-              .where(F.col("_in") == F.col("_size")).select(course, "_group", value))
-    from_group = grouped.join(shared, [course, "_group"], "inner").select(section, value)
-    own = (grouped.join(shared.select(course, "_group").distinct(), [course, "_group"], "left_anti")
-           .join(bridge.select(section, value).distinct(), section, "inner").select(section, value))
-    return from_group.unionByName(own)
+    named = (base.select(course, "_own", F.explode(member).alias("_group"))
+             .select(course, "_group", F.explode(F.array_append("_own", F.lit(None))).alias("_who")))
+    counted = named.groupBy(course, "_group", "_who").agg(F.count(F.lit(1)).alias("_n"))
+    marks = F.max(F.when(F.col("_who").isNull(), F.col("_n"))).over(Window.partitionBy(course, "_group"))
+    shared = (counted.withColumn("_marks", marks).where(F.col("_who").isNotNull() & (F.col("_n") == F.col("_marks")))
+              .groupBy(course, "_group").agg(F.collect_list("_who").alias("_shared")))
+    return (base.join(shared, [course, "_group"], "left")
+            .select(section, F.explode(F.coalesce("_shared", "_own")).alias("_who"))
+            .select(section, F.col("_who.v").alias(value)))
 
 
 def merge_duplicates(df: DataFrame, keys: Sequence[str], array_col: str, pos: str,

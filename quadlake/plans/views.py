@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.operators.slices import key_block, paged_lists
+from quadlake.operators.slices import paged_lists
 
 
 def taught_pairs(taught: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def course_view(courses: DataFrame, people: DataFrame, taught: DataFrame, shown:
     terms = taught.groupBy("course_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     staffed = (taught.where(shown).select("course_key", "person_key").distinct()
                .join(people, "person_key"))
-    pages = paged_lists(staffed, ["course_key"], ["person_key"], key_block(staffed, "person_key"),
-                        F.struct("person_key", "name"), "instructors", page_size)
+    pages = paged_lists(staffed, ["course_key"], ["person_key"], None, F.struct("person_key", "name"), "instructors", page_size)
     return (_paged(courses, pages, "course_key", "instructors").join(terms, "course_key", "left")
             .withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))))
 
@@ -38,6 +37,5 @@ def person_view(courses: DataFrame, people: DataFrame, taught: DataFrame, shown:
                 page_size: int = 1000) -> DataFrame:
     """People with pages of the courses they taught and the terms they did."""
     pairs = taught_pairs(taught.where(shown)).join(courses, "course_key")
-    pages = paged_lists(pairs, ["person_key"], ["course_key"], key_block(pairs, "course_key"),
-                        F.struct("course_key", "title", "terms"), "courses", page_size)
+    pages = paged_lists(pairs, ["person_key"], ["course_key"], None, F.struct("course_key", "title", "terms"), "courses", page_size)
     return _paged(people.where(shown), pages, "person_key", "courses")

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from quadlake.functions import filters as flt
 from quadlake.functions.project import positive_map
 from quadlake.operators import aggs, joins, paging
-from quadlake.operators.slices import key_block
 from quadlake.questions.offerings import CATEGORIES
 
 Tables = Mapping[str, DataFrame]
@@ -146,7 +145,7 @@ def school_requirements(tables: Tables, kind: str, catalog_year: str | None = No
 def sample_programs(tables: Tables, program_id: str | None = None, page_size: int = 100) -> DataFrame:
     """Sample programs with their variations in order."""
     programs = tables["sample_program"].where(flt.conjuncts(_equal("program_id", program_id)))
-    return aggs.nest(programs, tables["variation"], "program_id", ["variation_id"], key_block(tables["variation"], "variation_id"),
+    return aggs.nest(programs, tables["variation"], "program_id", ["variation_id"], None,
                      F.struct("label", "years"), "variations", page_size)
 
 

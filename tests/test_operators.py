@@ -131,6 +131,55 @@ def test_group_intersection_rules(spark, rows):
         ("D1", "prof"), ("L", "prof"), ("M", "other"), ("N", "x"), ("O", "y"), ("P", "z")]
 
 
+def test_group_intersection_with_nulls_and_gaps(spark, rows):
+    sections = spark.createDataFrame([("a", "c", "A"), ("b", "c", "A2"), ("n", None, "1"), ("u", "c", "Z"), ("r", "d", "1"), ("r", "d", "1")],
+                                     "s string, c string, n string")
+    bridge = spark.createDataFrame([("a", None), ("a", "x"), ("b", None), ("n", "own"), ("r", "y"), ("r", "y")], "s string, who string")
+    assert rows(aggs.group_intersection(sections, bridge, "s", "c", "n", "who"), "s", "who") == [
+        ("a", None), ("b", None), ("n", "own"), ("r", "y"), ("r", "y")]
+
+
+def test_group_intersection_moves_the_bridge_once(spark):
+    sections = spark.range(500).selectExpr("id s", "id div 7 c", "cast(id % 3 as string) n")
+    bridge = spark.range(900).selectExpr("id % 500 s", "id % 4 who")
+    joins_off = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = aggs.group_intersection(sections, bridge, "s", "c", "n", "who")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins_off)
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert plan.count("Range (0, 900") == 1 and "ReusedExchange" in plan
+    # By course: the counts, their comparison, and the sections that take what is shared.
+    assert sum("hashpartitioning(c#" in line for line in moves) == 3
+
+
+def _slices_of(df, keys):
+    return df.groupBy(*keys, "_slice").count().agg(F.max("count"), F.count("*")).first()
+
+
+@pytest.mark.parametrize("key", ["id", "id * 1000003", "xxhash64(id)", "concat('department of the same name ', id)",
+                                 "if(id % 50 = 0, null, lpad(id, 40, 'x'))"])
+def test_ranges_are_bounded_for_keys_of_any_kind(spark, key):
+    df = spark.range(0, 20000, numPartitions=4).selectExpr("if(id % 3 < 2, 0, id % 11) k", f"{key} o", "id")
+    cut = slices.ranged(df, ["k"], ["o", "id"], 1000)
+    biggest, some = _slices_of(cut, ["k"])
+    assert cut.count() == 20000 and biggest <= 2500 and some >= 20
+    got = {(r.k, r.id): r.pos for r in slices.with_position(df, ["k"], ["o", "id"], None).collect()}
+    sliced = {(r.k, r.id): r.pos for r in slices.with_position(cut, ["k"], ["o", "id"], F.col("_slice")).collect()}
+    want, last = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.o is not None, r.o if r.o is not None else 0, r.id)):
+        last[r.k] = last.get(r.k, 0) + 1
+        want[r.k, r.id] = last[r.k]
+    assert got == want and sliced == want
+
+
+def test_ranges_of_nothing(spark):
+    assert slices.ranged(spark.createDataFrame([], "k int, o string"), ["k"], ["o"]).count() == 0
+
+
 def test_merge_coalesce(spark, rows):
     old = spark.createDataFrame([("k", 1, 2), ("o", 5, 6)], "id string, a int, b int")
     new = spark.createDataFrame([("k", None, 3), ("n", 7, None)], "id string, a int, b int")
