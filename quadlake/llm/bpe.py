@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import text_key, text_or_empty
+from quadlake.llm.common import apart, text_key, text_or_empty
 
 #: Code points a chunk starts after the one before it, and how far it reaches into the next.
 CHUNK = 30_000
@@ -204,6 +204,7 @@ def _encode_ranges(spec, size: int):
     return run
 
 
+@apart("text")
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", chunk: int = CHUNK,
            overlap: int = OVERLAP) -> DataFrame:
     """`docs` and `ids`, the token ids of every text (null: empty, no ids).
@@ -251,7 +252,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
 
 
 def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str]) -> DataFrame:
-    """`carry` columns, n_tokens, ids_sha256 and decoded_sha256 of rows with `ids`."""
+    """`carry` columns, n_tokens, ids_sha256 and decoded_sha256 of rows with `ids`.
+
+    Carried columns with these names are replaced; `ids` may be carried.
+    """
+    carry = [c for c in carry if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     spec = Spec(encoded.sparkSession, ranks_path, pattern)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in carry)
 
@@ -268,4 +273,5 @@ def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str])
                                               pa.array(of_ids), pa.array(of_text)],
                                              names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select(*carry, "ids").mapInArrow(run, f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys([*carry, "ids"])]
+    return encoded.select(*needed).mapInArrow(run, f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string")

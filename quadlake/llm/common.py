@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import inspect
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,39 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def apart(*roles: str) -> Callable:
+    """For operators: the caller's columns go by numbers inside, so no name of theirs meets one made there.
+
+    roles: the parameters that name columns (a name, or a list of names). Afterwards they have their names again;
+    where the operator returns a column of its own under such a name, its own replaces the caller's.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        parameters = inspect.signature(operator)
+        first = next(iter(parameters.parameters))
+
+        @functools.wraps(operator)
+        def run(*args, **named) -> DataFrame:
+            given = parameters.bind(*args, **named)
+            given.apply_defaults()
+            docs = given.arguments[first]
+            names = {f"given{i}": name for i, name in enumerate(docs.columns)}
+            inside = {name: number for number, name in reversed(names.items())}
+            given.arguments[first] = docs.toDF(*names)
+            for role in roles:
+                of = given.arguments[role]
+                if of is not None:
+                    given.arguments[role] = inside[of] if isinstance(of, str) else [inside[c] for c in of]
+            out = operator(*given.args, **given.kwargs)
+            made = {c.lower() for c in out.columns if c not in names}
+            return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns
+                                if c not in names or names[c].lower() not in made])
+
+        return run
+
+    return wrap
+
+
 def text_key(rows: DataFrame, text: str = "text") -> DataFrame:
     """Add _t1 and _t2, together a 128-bit hash of the text; null counts as empty."""
     whole = text_or_empty(text)

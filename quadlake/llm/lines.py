@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import KeyFilter, Tally, batch, retire, signed, stored, text_key, text_or_empty
+from quadlake.llm.common import KeyFilter, Tally, apart, batch, retire, signed, stored, text_key, text_or_empty
 
 _COUNTS = pa.schema([("batch", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
 _HITS = pa.schema([("_t1", pa.int64()), ("_t2", pa.int64()), ("key", pa.binary())])
@@ -154,6 +154,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     return hits.join(sure, "key", "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("key").alias("_drop"))
 
 
+@apart("text")
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1) -> DataFrame:
     """`docs` with `text` without its frequent lines, and _n_lines, _n_dropped.
 

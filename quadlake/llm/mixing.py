@@ -7,10 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import WORD_PATTERN, stored, text_or_empty
+from quadlake.llm.common import WORD_PATTERN, apart, stored, text_or_empty
 
 #: Equal ranges of the 64-bit key space. Keys are hash-random, so equal ranges hold equal shares.
 SLICES = 4096
+#: Rows a slice should hold; more rows make more slices.
+SLICE_ROWS = 65_536
+#: Up to so many sources, with names of so many bytes, the shares of the mix are sent to every task.
+FEW_SOURCES = 10_000
+FEW_BYTES = 1 << 22
+#: Beyond that the rows of a source are dealt to so many tasks, and its share is sent to each.
+SALTS = 64
 
 
 def word_count(col: str = "text") -> Column:
@@ -95,6 +102,7 @@ def cuts(rows: DataFrame, wanted: DataFrame, slices: int = SLICES) -> DataFrame:
     return budget.select("_none", "_name", "_epochs").join(ends, ["_none", "_name"], "left")
 
 
+@apart("source", "text")
 def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[int] = (5, 2, 1),
         share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:
     """Add _size, source_size, target and taken: how many words of each document the mix takes.
@@ -103,29 +111,43 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: Se
     its budget holds it, then up to the exact word of the budget. A null text has size 0; null
     sources are one source, ordered last; a source without words takes nothing. Rows equal in
     every column share a key, and the cut gives each an equal part. Empty tables give no rows.
-    Columns starting with _ are made here. Reruns agree: keys depend on the rows alone.
+    Columns of the caller named as one returned here (_none, _name, _size and _key too) are
+    replaced. Reruns agree: keys depend on the rows alone.
     """
+    return _mixed(docs, source, text, weights, share, most_epochs)
+
+
+def _mixed(docs: DataFrame, source: str, text: str, weights: Sequence[int], share: float, most_epochs: float) -> DataFrame:
     rows = keyed(docs, source, text)
     slim = stored(rows.select("_none", "_name", "_size", "_key"), "sizes")
     wanted = targets(slim, weights, share, most_epochs)
-    return _taken(rows, wanted, cuts(slim, wanted))
+    slices = max(SLICES, 1 << (slim.count() // SLICE_ROWS).bit_length())
+    return _taken(rows, wanted, cuts(slim, wanted, slices))
 
 
 def _taken(rows: DataFrame, wanted: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows with what the mix takes of them. The texts stay where they are if the sources are few."""
     last = (F.when(F.col("_cut").isNull(), F.lit(0)).when(F.col("_key") < F.col("_cut"), F.col("_size"))
             .when(F.col("_key") == F.col("_cut"), F.least("_part", "_size")).otherwise(0))
-    plan = wanted.join(ends, ["_none", "_name"])
-    return (rows.join(plan, ["_none", "_name"])
-            .withColumn("taken", (F.col("_epochs") * F.col("_size") + last).cast("bigint")))
-
-
+    shares = stored(wanted.join(ends, ["_none", "_name"]), "shares")
+    held = shares.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_name")), F.lit(0)).alias("size")).first()
+    if held.n <= FEW_SOURCES and held.size <= FEW_BYTES:
+        met = rows.join(F.broadcast(shares), ["_none", "_name"])
+    else:
+        dealt = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")
+        met = rows.withColumn("_salt", salt).join(dealt, ["_none", "_name", "_salt"]).drop("_salt")
+    return met.withColumn("taken", (F.col("_epochs") * F.col("_size") + last).cast("bigint"))
+
+
+@apart("source", "text")
 def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text",
                     weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:
     """The mix itself: every document as often as it is taken; the one at the cut stays whole.
 
     Documents without words are neither wanted nor counted and go.
     """
-    taken = mix(docs, source, text, weights, share, most_epochs)
+    taken = _mixed(docs, source, text, weights, share, most_epochs)
     copies = F.when(F.col("_size") > 0, F.ceil(F.col("taken") / F.col("_size"))).otherwise(0).cast("int")
     return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
             .where(F.col("_copy") > 0).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import stored, text_or_empty
+from quadlake.llm.common import apart, stored, text_or_empty
 
 #: Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -395,6 +395,7 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+@apart("text")
 def find_private(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """The columns of `docs` but the text, with _base and _spans (kind:start:end, comma-joined, code
     points) and _email, _ip, _card, _phone: how many base spans of each kind.

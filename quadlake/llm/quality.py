@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import stored, text_or_empty
+from quadlake.llm.common import apart, stored, text_or_empty
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -155,6 +155,7 @@ def judged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], base_failed().alias("_failed"), kept.alias("_kept"))
 
 
+@apart("lang", "source", "text", "carry")
 def verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
              carry: list[str] | None = None) -> DataFrame:
     """One row per document: the `carry` columns, _m, _failed, _kept. Texts are read once.
@@ -168,6 +169,7 @@ def verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", text:
     return judged(rows, thresholds(sketches(rows)))
 
 
+@apart("lang", "source", "text")
 def keep_documents(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The documents that pass, with their columns; see `verdicts` for the rules."""
     grouped = docs.withColumns(_group(lang, source))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quadlake.llm.common import _powers, mix, range_hashes, word_hashes
+from quadlake.llm.common import _powers, apart, mix, range_hashes, word_hashes
 from quadlake.llm.repeats import Runs, by_window, covered, repeated_spans, without_spans
 
 WINDOW = 20
@@ -151,6 +151,7 @@ def _cut(text: str, spans: np.ndarray | None) -> tuple[str, int, int]:
     return b" ".join(left).decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
 
 
+@apart("doc_id", "text")
 def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with the words of `text` left over, joined by blanks, and _n_words, _n_removed.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import stored
+from quadlake.llm.common import apart, stored
 from quadlake.llm.components import components
 
 SIMILAR = 0.9
@@ -174,6 +174,7 @@ def usable(col: str) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+@apart("vec_id", "embedding")
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """`table` with n_links, component_id and kept, by cosine SIMILAR or more.
 

@@ -62,3 +62,12 @@ def test_no_python_and_rows_of_the_mix(spark):
     assert max(v for k, v in per.items() if k != 20) <= 2
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
     assert mixing.mix(df.limit(0)).agg(F.sum("taken")).first()[0] is None
+
+
+def test_many_sources_are_dealt_and_take_the_same(spark, monkeypatch):
+    df = frame(spark, documents())
+    few = sorted(map(str, mixing.mix(df).select("doc_id", "_size", "taken").collect()))
+    plan = mixing.mixed_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(df).select("doc_id", "_size", "taken").collect())) == few
