@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quadlake.llm import recompression, suffixes
+from quadlake.llm.common import KeyFilter
 from quadlake.llm.queries import QUERIES
 from tests.llm.cases import documents, saved
 
@@ -66,6 +67,15 @@ def test_words(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == brute_words(ROWS)
 
 
+def test_what_a_full_filter_lets_pass_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KeyFilter, "of", classmethod(lambda cls, keys, col: cls(np.full(cls.bits // 64, ~np.uint64(0)))))
+    folder = saved(spark, tmp_path, ROWS)
+    got = QUERIES["op7_recompression_dedup"](spark, folder).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_words(ROWS)
+    got = QUERIES["op6_suffix_dedup"](spark, folder).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_bytes(ROWS)
+
+
 def test_empty_table(spark, tmp_path):
     folder = saved(spark, tmp_path, [])
     assert QUERIES["op6_suffix_dedup"](spark, folder).count() == 0
