@@ -51,3 +51,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["scan_project"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice,250000.0)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+
+
+def test_reward_rules_stay_off_the_driver(spark):
+    plan = QUERIES["explode_rules_load"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
