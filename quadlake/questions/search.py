@@ -87,8 +87,9 @@ def search(tables: Tables, stored: Mapping[str, srch.Index], query: srch.Query,
     if not found:
         raise ValueError(f"no such kind: {kind!r}")
     both = union_tagged(found)
-    page = both.orderBy(F.desc("rank"), "id", "kind").offset(skip).limit(take)
+    shown = page = both.orderBy(F.desc("rank"), "id", "kind").offset(skip).limit(take)
     for name, table, key in (("course", "course_view", "course_id"), ("person", "person_view", "person_id")):
         records = tables[table].select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.struct("*").alias(name))
-        page = page.join(records, ["kind", "id"], "left")
-    return page.orderBy(F.desc("rank"), "id", "kind"), both.agg(F.count_if(F.col("rank") >= 0).alias("count"))
+        # The page goes to the records, so that no more of them than it asks for are ever sent about.
+        shown = shown.join(records.join(page, ["kind", "id"], "left_semi"), ["kind", "id"], "left")
+    return shown.orderBy(F.desc("rank"), "id", "kind"), both.agg(F.count_if(F.col("rank") >= 0).alias("count"))

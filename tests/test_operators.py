@@ -303,6 +303,23 @@ def test_skipping_parts_leaves_the_page_as_it_is(stored, query, skip, take):
     assert [tuple(r) for r in search.top(index, query, skip, take, first=2).collect()] == [tuple(r) for r in page.collect()]
 
 
+def test_an_index_is_built_without_lists_by_hash_and_without_sending_its_vocabulary(spark, rows, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "heaps of data heap"), (1, "heap"), (2, None), (None, "data"), (None, "heaps")], "id long, title string")
+    plans = []
+    words, kept = search.stemmed_words, spark.conf.get("spark.sql.execution.useObjectHashAggregateExec")
+    monkeypatch.setattr(search, "stemmed_words", lambda *a: plans.append(words(*a)) or plans[-1])
+    search.write_index(docs, str(tmp_path / "i"), "id", {"C": ["title"], "D": [F.lit("data")]}, parts=3, buckets=4, spread=2)
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == kept
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "BroadcastExchange" not in plan
+    index = search.Index(spark, str(tmp_path / "i"), "id", buckets=4)
+    # Rows with one key, or none, are one document, and words of one stem are one term.
+    assert rows(index.postings(index.blocks()).select("id", "field", "term", "tf", F.array_join("positions", ","))) == sorted([
+        (1, "C", "heap", 3, "1,1,4"), (1, "C", "data", 1, "3"), (1, "D", "data", 2, "1,1"), (2, "D", "data", 1, "1"),
+        (None, "C", "data", 1, "1"), (None, "C", "heap", 1, "1"), (None, "D", "data", 2, "1,1")], key=repr)
+    assert rows(index.blocks().where("term = 'data'").select(F.sum("n"), F.max("best"))) == [(3, pytest.approx(0.4))]
+
+
 def test_bounds_hold_and_leave_parts_out(stored):
     index, plain = stored
     query = search.Query(all_of=["q"], prefix_last=False)
