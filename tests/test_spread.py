@@ -1,5 +1,8 @@
 """Work per row is dealt over all tasks of the session, and done once."""
 
+import os
+from collections import Counter
+
 import __spark_entry__ as entry
 from quadlake.sources import feeds
 
@@ -17,3 +20,9 @@ def test_listings_are_parsed_once(spark):
     assert "from_xml" not in _plan(entry.queries()["xml_listing_explode"](spark, FOLDER))
     assert [tuple(r) for r in tables["school"].select("k", "school").collect()] == [(1, "A")]
     assert sorted((r.k, r.d) for r in tables["rejected"].collect()) == [(2, "<r><cou"), (3, None)]
+
+
+def test_rule_documents_are_walked_by_many_tasks(spark):
+    nodes = entry.queries()["rule_tree_flatten"](spark, FOLDER)
+    files = Counter(os.path.dirname(path) for path in nodes.inputFiles())
+    assert files and min(files.values()) > 1
