@@ -65,12 +65,14 @@ def resolve_names(names: DataFrame, directory: DataFrame, name: str = "name",
         "_first", F.left(F.col("t")[0], F.lit(1)))
     # Each entry under its own first letter and under "no initial given".
     people = people.withColumn("_initial", F.explode(F.array_distinct(F.array(F.col("_first"), F.lit("")))))
-    words = people.withColumn("_word", F.explode(F.array_distinct(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))))
-    # Prefixes only of the lengths some name asks for; there are as many as letters in a word.
+    people = people.withColumn("_words", F.array_distinct(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))))
+    words = people.withColumn("_word", F.explode("_words")).drop("_words")
+    # Prefixes only of the lengths some name asks for; there are as many as letters in a word. An entry has each once, so
+    # nothing has to be gathered to tell them apart, and a person of several entries is found under any of them.
     lengths = wanted.where("NOT _exact").agg(F.collect_set(F.length("_word"))).scalar()
-    prefixes = (words.withColumn("_len", F.explode(lengths)).where(F.length("_word") >= F.col("_len"))
-                .withColumn("_word", F.expr("substring(_word, 1, _len)")).drop("_len")
-                .dropDuplicates(["person_id", "_initial", "_word"]))
+    cut = F.transform(F.filter("_words", lambda w: F.length(w) >= F.col("_len")), lambda w: w.substr(F.lit(1), F.col("_len")))
+    prefixes = (people.withColumn("_len", F.explode(lengths))
+                .withColumn("_word", F.explode(F.array_distinct(cut))).drop("_len", "_words"))
 
     k = F.size("i")
     starts = F.forall(F.sequence(F.lit(0), F.least(k, F.size("t")) - 1),
