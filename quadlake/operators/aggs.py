@@ -152,25 +152,27 @@ def group_intersection(sections: DataFrame, bridge: DataFrame, section: str, cou
 
     Sections belong together when their numbers carry the same letters; a section
     without letters stands for the whole course. Each section brings its people and one
-    mark: a person named as often as there are marks is shared. A section's people are a
-    short list, and counts combine before they move; nothing of a course is listed whole.
+    mark: a person named as often as there are marks is shared. People are rows, not lists, which
+    sorts hold in little memory; counts combine before they move and nothing of a course is listed whole.
     Without anybody in the bridge a section gives no row of its own; null people are people.
     """
     letters = F.upper(F.regexp_extract(F.col(number), "[A-Za-z]+", 0))
-    staffed = bridge.groupBy(section).agg(F.collect_set(F.struct(F.col(value).alias("v"))).alias("_own"))
+    staffed = bridge.select(section, F.col(value).alias("_who")).distinct().withColumn(
+        "_at", F.row_number().over(Window.partitionBy(section).orderBy("_who")))
+    # One row for each person of a section, or for a section of nobody (0); the first carries the mark.
     base = (sections.select(section, course, letters.alias("_group")).join(staffed, section, "left")
-            .withColumn("_own", F.coalesce("_own", F.array().cast(staffed.schema["_own"].dataType))))
+            .withColumn("_at", F.coalesce("_at", F.lit(0))))
     # A lettered section counts in its own group and in the whole course ('').
     member = F.when(F.col("_group") == "", F.array(F.lit(""))).otherwise(
         F.array(F.col("_group"), F.lit("")))
-    named = (base.select(course, "_own", F.explode(member).alias("_group"))
-             .select(course, "_group", F.explode(F.array_append("_own", F.lit(None))).alias("_who")))
-    counted = named.groupBy(course, "_group", "_who").agg(F.count(F.lit(1)).alias("_n"))
-    marks = F.max(F.when(F.col("_who").isNull(), F.col("_n"))).over(Window.partitionBy(course, "_group"))
-    shared = (counted.withColumn("_marks", marks).where(F.col("_who").isNotNull() & (F.col("_n") == F.col("_marks")))
-              .groupBy(course, "_group").agg(F.collect_list("_who").alias("_shared")))
+    counted = (base.select(course, "_who", "_at", F.explode(member).alias("_group"))
+               .groupBy(course, "_group", "_who").agg(F.count_if(F.col("_at") > 0).alias("_n"), F.count_if(F.col("_at") <= 1).alias("_m")))
+    marks = F.sum("_m").over(Window.partitionBy(course, "_group"))
+    shared = (counted.withColumn("_marks", marks).where(F.col("_n") == F.col("_marks"))
+              .groupBy(course, "_group").agg(F.collect_list(F.struct(F.col("_who").alias("v"))).alias("_shared")))
+    own = F.when(F.col("_at") > 0, F.array(F.struct(F.col("_who").alias("v"))))
     return (base.join(shared, [course, "_group"], "left")
-            .select(section, F.explode(F.coalesce("_shared", "_own")).alias("_who"))
+            .select(section, F.explode(F.when(F.col("_shared").isNull(), own).when(F.col("_at") <= 1, F.col("_shared"))).alias("_who"))
             .select(section, F.col("_who.v").alias(value)))
 
 

@@ -370,3 +370,12 @@ def test_views_over_text_keys(spark):
     assert got["X2"].instructors == [] and got["X2"].terms == []
     mine = {r.person_key: r for r in views.person_view(courses, people, taught, F.lit(True)).collect()}
     assert [(c.course_key, c.terms) for c in mine["cd"].courses] == [("X1", ["2024", "2025"])]
+
+
+def test_group_intersection_keeps_people_as_rows(spark, rows):
+    sections = spark.createDataFrame([("a", "c", "A"), ("b", "c", "A2"), ("b", "c", "A2"), ("e", "c", "B"), ("f", "d", "1"), (None, "d", "2")],
+                                     "s string, c string, n string")
+    bridge = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "y"), ("b", "x"), ("b", "z"), ("f", "x"), ("f", None)], "s string, who string")
+    shared = aggs.group_intersection(sections, bridge, "s", "c", "n", "who")
+    assert rows(shared, "s", "who") == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("b", "y"), ("b", "y"), ("f", "x"), ("f", None)]
+    assert "collect_set" not in shared._jdf.queryExecution().optimizedPlan().toString()
