@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ from quadlake.llm.common import apart, text_key, text_or_empty
 #: Code points a chunk starts after the one before it, and how far it reaches into the next.
 CHUNK = 30_000
 OVERLAP = 512
-CACHE = 300_000
+CACHE = 200_000
+#: Bytes up to which a piece is merged by looking through all its pairs.
+FEW = 64
+NO_RANK = 1 << 31
 
 
 class Vocabulary(dict):
@@ -50,12 +54,14 @@ class Vocabulary(dict):
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Join the adjacent pair of lowest rank, leftmost first, until no pair has one.
 
-    Parts are a linked list and pairs a heap, so a piece of any length takes n log n steps.
+    Parts are a linked list and pairs a heap, so a piece of any length takes n log n steps; short ones need neither.
     """
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
+    if n <= FEW:
+        return _merge_few(piece, ranks)
     ends = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
@@ -80,24 +86,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _merge_few(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    pairs = [ranks.get(piece[i:i + 2], NO_RANK) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < NO_RANK:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+    return tuple(map(ranks.__getitem__, parts))
+
+
 _LOADED: dict[str, tuple] = {}
 
 
 def _tools(spec) -> tuple:
-    """The vocabulary and pattern of a broadcast, built once in each worker."""
+    """The vocabulary and pattern of a broadcast, built once in each worker.
+
+    A worker lives on between steps and queries, so it keeps the last one only.
+    """
     if spec.id not in _LOADED:
+        _LOADED.clear()
         lines, pattern = spec.value
         _LOADED[spec.id] = Vocabulary(lines), regex.compile(pattern)
     return _LOADED[spec.id]
 
 
 class Spec:
-    """A broadcast (lines of the rank file, pattern) and its id; the file has a fixed size."""
+    """A broadcast (lines of the rank file, pattern) and its id, the same for the same contents; the file has a fixed size."""
 
     def __init__(self, spark, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as file:
-            self._value = spark.sparkContext.broadcast((file.read().splitlines(), pattern))
-        self.id = uuid.uuid4().hex
+            ranks = file.read()
+        self._value = spark.sparkContext.broadcast((ranks.splitlines(), pattern))
+        self.id = hashlib.sha256(ranks + b"\0" + pattern.encode()).hexdigest()
 
     @property
     def value(self):
@@ -105,15 +130,12 @@ class Spec:
 
 
 def encode_pieces(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
-    out: list[int] = []
-    for ids in map(vocabulary.__getitem__, pieces):
-        out.extend(ids)
-    return out
+    return list(chain.from_iterable(map(vocabulary.__getitem__, pieces)))
 
 
 def _lists(ids: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, ids)])
-    flat = np.fromiter((i for one in ids for i in one), np.int32, ends[-1])
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
@@ -146,6 +168,21 @@ def _short(spec, names: list[str]):
     return run
 
 
+def _lost(spec, names: list[str]):
+    """Rows with their ids as they are; those whose chunks could not be stitched are encoded whole."""
+    whole = _short(spec, names)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            known = b.column("ids").is_valid()
+            yield b.filter(known).select([*names, "ids"])
+            rest = b.filter(pc.invert(known))
+            if rest.num_rows:
+                yield from whole(iter([rest]))
+
+    return run
+
+
 def _slices(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for i in range(0, b.num_rows, rows):
         yield b.slice(i, rows)
@@ -244,11 +281,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
              .mapInArrow(_encode_ranges(spec, chunk), "_t1 long, _t2 long, k int, ids array<int>")
              .groupBy("_t1", "_t2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))),
                                                             lambda x: x["ids"])).alias("ids")))
-    whole = long.join(parts, ["_t1", "_t2"], "left")
-    encoded = whole.where("ids is not null").select(*[F.col(f"`{c}`") for c in names], "ids")
-    giant = (whole.where("ids is null").select(*[F.col(f"`{c}`") for c in names], "_text")
-             .mapInArrow(_short(spec, names), schema))
-    return short.unionByName(encoded).unionByName(giant)
+    # One pass over the join: read twice, for rows with and without ids, all chunks would be encoded twice.
+    whole = (long.join(parts, ["_t1", "_t2"], "left")
+             .select(*[F.col(f"`{c}`") for c in names], F.when(F.col("ids").isNull(), F.col("_text")).alias("_text"), "ids"))
+    return short.unionByName(whole.mapInArrow(_lost(spec, names), schema))
 
 
 def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str]) -> DataFrame:

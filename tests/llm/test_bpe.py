@@ -50,3 +50,27 @@ def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", [9], "x")], "doc_id long, text string, ids array<int>, chunk string")
     row = bpe.encode(df, RANKS, P.PATTERN).first()
     assert row.chunk == "x" and row.ids != [9]
+
+
+def test_a_worker_keeps_one_vocabulary(spark, tmp_path):
+    short = tmp_path / "short.tiktoken"
+    short.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
+    bpe._LOADED.clear()
+    vocabulary, _ = bpe._tools(bpe.Spec(spark, RANKS, P.PATTERN))
+    assert bpe._tools(bpe.Spec(spark, RANKS, P.PATTERN))[0] is vocabulary
+    other, _ = bpe._tools(bpe.Spec(spark, str(short), P.PATTERN))
+    assert len(bpe._LOADED) == 1 and other.ranks != vocabulary.ranks
+    assert bpe._tools(bpe.Spec(spark, str(short), "."))[0] is not other and len(bpe._LOADED) == 1
+    bpe._LOADED.clear()
+
+
+def test_short_pieces_merge_like_long_ones(library):
+    ranks = bpe.Vocabulary(open(RANKS, "rb").read().splitlines()).ranks
+    for piece in ("ab" * 32, "a" * 7, "éßñ" * 5, "qzxjv", "untokenisable", "\u4e2d\u6587" * 6):
+        assert list(bpe._merge_few(piece.encode(), ranks)) == list(bpe.merge(piece.encode(), ranks)) == library.encode_ordinary(piece)
+
+
+def test_chunks_are_encoded_once(spark):
+    df = frame(spark, [(1, "word " * 50, None, None, None)])
+    plan = bpe.encode(df, RANKS, P.PATTERN, chunk=40, overlap=12)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # short texts, ends of chunks, ids of chunks, texts that could not be stitched
