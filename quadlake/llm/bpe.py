@@ -5,8 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,13 +189,21 @@ def _slices(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, rows)
 
 
+def pieces_and_ends(text: str, pattern) -> tuple[list[str], list[int]]:
+    pieces = pattern.findall(text)
+    ends = list(accumulate(map(len, pieces)))
+    if ends and ends[-1] != len(text):  # the pattern left something out: ends are no sums
+        ends = [m.end() for m in pattern.finditer(text)]
+    return pieces, ends
+
+
 def boundaries(text: str, pattern, start: int, last: bool) -> list[int]:
     """Where pre-tokens end, as offsets in the document, if the text begins at one.
 
     Within a chunk that is not the last, matches that touch its end may be cut and don't count;
     the match before them may depend on what it could see, so it doesn't count either.
     """
-    ends = [m.end() for m in pattern.finditer(text)]
+    _, ends = pieces_and_ends(text, pattern)
     if not last:
         while ends and ends[-1] >= len(text):
             ends.pop()
@@ -228,13 +237,8 @@ def _encode_ranges(spec, size: int):
                 # From a boundary on, the pieces are those of the document; the next chunk goes on at `end`.
                 piece = text[begin - k * size:]
                 stop = len(piece) if end is None else end - begin
-                pieces, at = [], 0
-                for m in pattern.finditer(piece):
-                    if at >= stop:
-                        break
-                    pieces.append(m.group())
-                    at = m.end()
-                out.append(encode_pieces(pieces, vocabulary))
+                pieces, ends = pieces_and_ends(piece, pattern)
+                out.append(encode_pieces(pieces[:bisect_left(ends, stop) + 1] if stop > 0 else [], vocabulary))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_t1", "_t2", "k")], _lists(out)],
                                              names=["_t1", "_t2", "k", "ids"])
 

@@ -3,6 +3,7 @@ import hashlib
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 
 from quadlake.llm import bpe
@@ -74,3 +75,9 @@ def test_chunks_are_encoded_once(spark):
     df = frame(spark, [(1, "word " * 50, None, None, None)])
     plan = bpe.encode(df, RANKS, P.PATTERN, chunk=40, overlap=12)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 4  # short texts, ends of chunks, ids of chunks, texts that could not be stitched
+
+
+def test_ends_of_pieces_where_the_pattern_leaves_some_out():
+    assert bpe.pieces_and_ends("ab, cd", regex.compile(r"\w+")) == (["ab", "cd"], [2, 6])
+    assert bpe.pieces_and_ends("ab cd", regex.compile(r"\w+|\s")) == (["ab", " ", "cd"], [2, 3, 5])
+    assert bpe.pieces_and_ends("", regex.compile(r"\w+")) == ([], [])
