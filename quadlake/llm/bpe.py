@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import apart, text_key, text_or_empty
+from quadlake.llm.common import apart, text_key, text_or_empty, tidy
 
 #: Code points a chunk starts after the one before it, and how far it reaches into the next.
 CHUNK = 30_000
@@ -51,6 +51,11 @@ class Vocabulary(dict):
         self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the pieces; the ranks stay."""
+        self.clear()
+        self.older = {}
+
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Join the adjacent pair of lowest rank, leftmost first, until no pair has one.
@@ -262,7 +267,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
     names = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text).alias("_text"))
     schema = _encoded_schema(docs, names)
-    short = rows.where(F.length("_text") <= chunk).mapInArrow(_short(spec, names), schema)
+    short = rows.where(F.length("_text") <= chunk).mapInArrow(tidy(_short(spec, names)), schema)
 
     # Equal long texts are encoded once: their hash is the key of chunks and results.
     long = text_key(rows.where(F.length("_text") > chunk), "_text")
@@ -272,7 +277,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
               .select("_t1", "_t2", "k", "n_chunks",
                       F.substring(F.col("_text"), F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("chunk"))
               .dropDuplicates(["_t1", "_t2", "k"]))
-    ended = chunks.mapInArrow(_chunk_ends(spec, chunk, overlap), "_t1 long, _t2 long, k int, n_chunks int, "
+    ended = chunks.mapInArrow(tidy(_chunk_ends(spec, chunk, overlap)), "_t1 long, _t2 long, k int, n_chunks int, "
                               "chunk string, heads array<int>, tails array<int>")
     along = Window.partitionBy("_t1", "_t2").orderBy("k")
     meet = F.array_min(F.array_intersect("tails", F.lead("heads").over(along)))
@@ -282,19 +287,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
                 .withColumn("begin", F.coalesce(F.lag("meet").over(along), F.lit(0)))
                 .select("_t1", "_t2", "k", "chunk", "lost", "begin", F.col("meet").alias("end")))
     parts = (stitched.where("not lost").select("_t1", "_t2", "k", "chunk", "begin", "end")
-             .mapInArrow(_encode_ranges(spec, chunk), "_t1 long, _t2 long, k int, ids array<int>")
+             .mapInArrow(tidy(_encode_ranges(spec, chunk)), "_t1 long, _t2 long, k int, ids array<int>")
              .groupBy("_t1", "_t2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))),
                                                             lambda x: x["ids"])).alias("ids")))
     # One pass over the join: read twice, for rows with and without ids, all chunks would be encoded twice.
     whole = (long.join(parts, ["_t1", "_t2"], "left")
              .select(*[F.col(f"`{c}`") for c in names], F.when(F.col("ids").isNull(), F.col("_text")).alias("_text"), "ids"))
-    return short.unionByName(whole.mapInArrow(_lost(spec, names), schema))
+    return short.unionByName(whole.mapInArrow(tidy(_lost(spec, names)), schema))
 
 
-def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str]) -> DataFrame:
+def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str], last: bool = False) -> DataFrame:
     """`carry` columns, n_tokens, ids_sha256 and decoded_sha256 of rows with `ids`.
 
-    Carried columns with these names are replaced; `ids` may be carried.
+    Carried columns with these names are replaced; `ids` may be carried. last: the encoding is done (a written table),
+    so workers drop the pieces they remember, which decoding doesn't need and later steps would carry along.
     """
     carry = [c for c in carry if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     spec = Spec(encoded.sparkSession, ranks_path, pattern)
@@ -302,6 +308,8 @@ def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = _tools(spec)
+        if last:
+            vocabulary.forget()
         digits = vocabulary.digits_of.__getitem__
         for b in rows:
             counts, of_ids, of_text = [], [], []
@@ -314,4 +322,4 @@ def digests(encoded: DataFrame, ranks_path: str, pattern: str, carry: list[str])
                                              names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     needed = [F.col(f"`{c}`") for c in dict.fromkeys([*carry, "ids"])]
-    return encoded.select(*needed).mapInArrow(run, f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select(*needed).mapInArrow(tidy(run), f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string")

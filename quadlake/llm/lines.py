@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import KeyFilter, Tally, apart, batch, retire, signed, stored, text_key, text_or_empty
+from quadlake.llm.common import KeyFilter, Tally, apart, batch, retire, signed, stored, text_key, text_or_empty, tidy
 
 _COUNTS = pa.schema([("batch", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
 _HITS = pa.schema([("_t1", pa.int64()), ("_t2", pa.int64()), ("key", pa.binary())])
@@ -139,7 +139,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     spark = docs.sparkSession
     own = docs.select(text_or_empty(text).alias("text"))
     dealt = own.select("text", F.pmod(F.xxhash64("text"), F.lit(batches)).cast("int").alias("batch"))
-    counted = stored(dealt.mapInArrow(_counts(min_chars, batches), "batch int, h long, n long")
+    counted = stored(dealt.mapInArrow(tidy(_counts(min_chars, batches)), "batch int, h long, n long")
                      .groupBy("batch", "h").agg(F.sum("n").alias("n")), "lines")
     runs = LineRuns(min_docs)
     for i in range(batches):
@@ -148,7 +148,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     retire(counted)
     # The runs hold 64-bit hashes; lines they point at are counted again by 128 bits.
     known = spark.sparkContext.broadcast(KeyFilter.of(settled, "h"))
-    hits = stored(text_key(own, "text").mapInArrow(_suspects(min_chars, known),
+    hits = stored(text_key(own, "text").mapInArrow(tidy(_suspects(min_chars, known)),
                                                     "_t1 long, _t2 long, key binary"), "hits")
     sure = hits.groupBy("key").count().where(F.col("count") >= min_docs).select("key")
     return hits.join(sure, "key", "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("key").alias("_drop"))
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
                 [*columns, pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())],
                 names=[*names, "_n_lines", "_n_dropped"])
 
-    return marked.select(*[F.col(f"`{n}`") for n in names], "_drop").mapInArrow(rewrite, schema)
+    return marked.select(*[F.col(f"`{n}`") for n in names], "_drop").mapInArrow(tidy(rewrite), schema)
 
 
 def sha256(text: str | bytes) -> str:

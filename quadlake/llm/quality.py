@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import apart, stored, text_or_empty
+from quadlake.llm.common import apart, stored, text_or_empty, tidy
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -62,7 +62,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                 [pa.array([x[i] for x in found], pa.int64()) for i in range(len(_FIELDS))], fields=list(_SCHEMA))
             yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*names, "_m"])
 
-    return docs.mapInArrow(run, schema + ", _m struct<" + ", ".join(f"{n}: bigint" for n in _FIELDS) + ">")
+    return docs.mapInArrow(tidy(run), schema + ", _m struct<" + ", ".join(f"{n}: bigint" for n in _FIELDS) + ">")
 
 
 def _thousandths(part: str, whole: str) -> Column:

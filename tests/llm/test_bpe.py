@@ -7,6 +7,7 @@ import regex
 import tiktoken
 
 from quadlake.llm import bpe
+from quadlake.llm.common import stored, tidy
 from quadlake.llm.queries import QUERIES
 from tests.llm.cases import documents, frame, saved
 
@@ -81,3 +82,40 @@ def test_ends_of_pieces_where_the_pattern_leaves_some_out():
     assert bpe.pieces_and_ends("ab, cd", regex.compile(r"\w+")) == (["ab", "cd"], [2, 6])
     assert bpe.pieces_and_ends("ab cd", regex.compile(r"\w+|\s")) == (["ab", " ", "cd"], [2, 3, 5])
     assert bpe.pieces_and_ends("", regex.compile(r"\w+")) == ([], [])
+
+
+def _held():
+    """Anonymous memory of this process, in KB."""
+    with open("/proc/self/smaps_rollup") as file:
+        return next(int(line.split()[1]) for line in file if line.startswith("Anonymous:"))
+
+
+def test_workers_leave_no_free_memory_behind():
+    """What a function over batches used and freed goes back to the system when the task is done."""
+
+    def hoard(rows):
+        small = [bytearray(100_000) for _ in range(400)]  # below the size that the C library maps apart
+        keep.append(bytearray(100_000))
+        del small
+        yield from rows
+
+    keep = []
+    before = _held()
+    assert list(tidy(hoard)(iter([1, 2]))) == [1, 2]
+    assert _held() - before < 10_000
+
+
+def test_the_last_step_drops_the_pieces(spark, tmp_path):
+    """Encoded in one pass, decoded in another that says it is the last: only the ranks stay in the worker."""
+    ranks, pattern = RANKS, P.PATTERN
+    docs = frame(spark, [(i, f"some words{i} and other{i * 7} words", None, None, None) for i in range(50)])
+    encoded = stored(bpe.encode(docs, ranks, pattern), "encoded")
+    plain = bpe.digests(encoded, ranks, pattern, ["doc_id"]).collect()
+    assert sorted(bpe.digests(encoded, ranks, pattern, ["doc_id"], last=True).collect()) == sorted(plain)
+    with open(ranks, "rb") as file:
+        vocabulary = bpe.Vocabulary(file.read().splitlines())
+    ids = bpe.encode_pieces(["some", " words", " zzyzx"], vocabulary)
+    assert len(vocabulary) == 3
+    vocabulary.forget()
+    assert not vocabulary and not vocabulary.older
+    assert bpe.decode(ids, vocabulary) == b"some words zzyzx"
