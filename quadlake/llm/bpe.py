@@ -181,7 +181,9 @@ def _lost(spec, names: list[str]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             known = b.column("ids").is_valid()
-            yield b.filter(known).select([*names, "ids"])
+            done = b.filter(known)
+            yield pa.RecordBatch.from_arrays([*[done.column(n) for n in names], done.column("ids").cast(pa.list_(pa.int32()))],
+                                             names=[*names, "ids"])
             rest = b.filter(pc.invert(known))
             if rest.num_rows:
                 yield from whole(iter([rest]))
