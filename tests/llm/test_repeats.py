@@ -105,3 +105,18 @@ def test_equal_windows_have_equal_anchors():
     for i, k in zip(windows, key.tolist(), strict=True):
         assert of.setdefault(words[i:i + 20].tobytes(), k) == k
     assert len(set(owner.tolist())) < 0.5 * len(words)
+
+
+def test_contents_move_once_where_no_anchor_has_very_many_runs(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, k * 7 + i, i, 0, rng.randbytes(200)) for k in range(400) for i in range(4)]
+    spark.createDataFrame(rows, "k long, c long, o long, a int, content binary").write.parquet(f"{tmp_path}/told")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        solved = suffixes._solve(spark.read.parquet(f"{tmp_path}/told"))
+        plan = solved._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "SortMergeJoin [k" not in plan
+        assert solved.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
