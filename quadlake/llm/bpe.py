@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadlake.llm.common import apart, text_key, text_or_empty, tidy
 
@@ -162,12 +163,12 @@ def _encoded_schema(docs: DataFrame, names: list[str]) -> str:
     return f"{own}{', ' if own else ''}ids array<int>"
 
 
-def _short(spec, names: list[str]):
+def _short(spec, names: list[str], text: str = "_text"):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, pattern = _tools(spec)
         for b in rows:
             for part in _slices(b):
-                ids = [encode_pieces(pattern.findall(t), vocabulary) for t in part.column("_text").to_pylist()]
+                ids = [encode_pieces(pattern.findall(t or ""), vocabulary) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], _lists(ids)],
                                                  names=[*names, "ids"])
 
@@ -269,7 +270,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
     names = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text).alias("_text"))
     schema = _encoded_schema(docs, names)
-    short = rows.where(F.length("_text") <= chunk).mapInArrow(tidy(_short(spec, names)), schema)
+    # A text that is a string goes to Python once, as the column it is.
+    given = text if text in names and isinstance(docs.schema[text].dataType, StringType) else "_text"
+    short = (rows.where(F.length("_text") <= chunk).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, given])])
+             .mapInArrow(tidy(_short(spec, names, given)), schema))
 
     # Equal long texts are encoded once: their hash is the key of chunks and results.
     long = text_key(rows.where(F.length("_text") > chunk), "_text")
@@ -293,8 +297,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
              .groupBy("_t1", "_t2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))),
                                                             lambda x: x["ids"])).alias("ids")))
     # One pass over the join: read twice, for rows with and without ids, all chunks would be encoded twice.
-    whole = (long.join(parts, ["_t1", "_t2"], "left")
-             .select(*[F.col(f"`{c}`") for c in names], F.when(F.col("ids").isNull(), F.col("_text")).alias("_text"), "ids"))
+    moved = long.drop("_text") if given == text else long
+    again = text_or_empty(text) if given == text else F.col("_text")
+    whole = (moved.join(parts, ["_t1", "_t2"], "left")
+             .select(*[F.col(f"`{c}`") for c in names], F.when(F.col("ids").isNull(), again).alias("_text"), "ids"))
     return short.unionByName(whole.mapInArrow(tidy(_lost(spec, names)), schema))
 
 

@@ -119,3 +119,12 @@ def test_the_last_step_drops_the_pieces(spark, tmp_path):
     vocabulary.forget()
     assert not vocabulary and not vocabulary.older
     assert bpe.decode(ids, vocabulary) == b"some words zzyzx"
+
+
+def test_a_text_is_handed_over_and_moved_once(spark):
+    df = frame(spark, [(1, "a b " * 30, None, None, None), (2, None, None, None, None), (3, "x", None, None, None)])
+    encoded = bpe.encode(df, RANKS, P.PATTERN, chunk=40, overlap=12)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    short = plan.split("MapInArrow")[1].split("\n")[1]
+    assert "Project" in short and "_text" not in short
+    assert "ids" in encoded.columns and {r.doc_id: len(r.ids) for r in encoded.collect()}[2] == 0
