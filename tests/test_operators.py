@@ -379,3 +379,20 @@ def test_group_intersection_keeps_people_as_rows(spark, rows):
     shared = aggs.group_intersection(sections, bridge, "s", "c", "n", "who")
     assert rows(shared, "s", "who") == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("b", "y"), ("b", "y"), ("f", "x"), ("f", None)]
     assert "collect_set" not in shared._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_index_is_made_with_two_moves(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "running runs run", "the runs of dogs"), (1, "", "dog"), (2, None, "Dogs"), (None, "cat", "cat cats")],
+                                 "id int, title string, body string")
+    fields = {"C": ["title"], "D": ["body"]}
+    with search._sorted_lists(spark):
+        blocks = search._blocks(docs, "id", fields, 3, 4)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan  # blocks move once more to their bucket
+        assert all(r.n == len(r.postings) for r in blocks.collect())
+    search.write_index(docs, f"{tmp_path}/index", "id", fields)
+    index = search.Index(spark, f"{tmp_path}/index", "id")
+    got = index.postings(index.blocks()).select("id", "field", "term", "tf", "positions").collect()
+    want = search.build_index(docs, "id", fields).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert (1, "C", "run", 3, [1, 2, 3]) in map(tuple, got) and (1, "D", "dog", 2, [1, 4]) in map(tuple, got)
