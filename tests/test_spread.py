@@ -5,7 +5,7 @@ from collections import Counter
 
 import __spark_entry__ as entry
 from quadlake.plans import catalogue
-from quadlake.sources import feeds
+from quadlake.sources import feeds, sinks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,3 +34,15 @@ def test_requirement_texts_are_read_by_many_tasks(spark):
     trees, edges = catalogue.prereq_tables(raw, "k", "t")
     assert trees.rdd.getNumPartitions() == 8
     assert edges.count() == 128
+
+
+def test_program_pages_are_read_by_as_many_tasks_as_are_asked_for(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, i % 97, "1-URGENT" if i % 5 == 0 else "5-LOW", "F", 300000.0 + i) for i in range(2000)],
+                          "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double"
+                          ).write.parquet(f"{tmp_path}/orders.parquet")
+    written = []
+    keep = sinks.keep
+    monkeypatch.setattr(sinks, "keep", lambda df, name: written.append(keep(df, name)) or written[-1])
+    out = entry.queries()["grid_to_terms"](spark, str(tmp_path))
+    assert len(written[0].inputFiles()) > 4
+    assert out.select("o_custkey").distinct().count() == 97
